@@ -37,8 +37,47 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.line_dedup import dedup_lines
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.ngram_join import ngram_components
+
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.mixing import mix_sources
+
+    mixed = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.sharding import shuffle_to_shards
+
+    placed = shuffle_to_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return placed.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op7_mixing": op7_mixing,
+    "op2_sharding": op2_sharding,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
