@@ -72,13 +72,46 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.token_files import token_file_digests
+
+    digests = token_file_digests(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return digests.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.langid import held_out, learn, predict
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    model = learn(docs.where("not held_out"))
+    return predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.revisit import captures, resolve_revisits
+
+    resolved = resolve_revisits(captures(read(spark, sf_dir, "pages")))
+    shown = F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return resolved.select("record_id", "kind", "canonical", "status", "refers_to", F.array_join(shown, ";").alias("headers"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_sharding": op2_sharding,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op7_mixing": op7_mixing,
-    "op2_sharding": op2_sharding,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLES: dict[str, str] = {}
