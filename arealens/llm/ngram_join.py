@@ -5,7 +5,7 @@ shingles and its partner share t = ceil(threshold * n) or more, so their first n
 in common: a pair is verified only if it shares min(m, m') prefix shingles, m and m' being chosen
 by each document from the lengths of its lists and the candidates they promise.
 
-Equal sets are one node. Near copies of one text would still meet in pairs on all they share, so
+Equal texts (A-Z folded) are one node. Near copies of one text would still meet in pairs on all they share, so
 each document is first verified against a hub, the best-connected document of its lists, and then
 only pairs that can still join two components are sought: documents around one hub that share shingles
 outside it, or whose overlaps with it leave room for a link; and documents around different hubs.
@@ -21,18 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealens.llm.joins import join_counted
-from arealens.llm.text import shingle_set
+from arealens.llm.text import lower_ascii, shingle_set
 from arealens.operators.graph import connected_components
-from arealens.scratch import stage
+from arealens.scratch import discard, stage
 
-CLASSES = 1 << 19  # of the shingle counts; a fixed 4 MB on the driver and each worker
+CLASS_BITS = 18
+CLASSES = 1 << CLASS_BITS  # of the shingle counts; a fixed 2 MB on the driver and each worker
 MOST = 4  # largest number of prefix shingles that a scheme asks for
 VERIFY = 20.0  # cost of a verification, in list entries
+SKETCHED = 64  # sets above this size have a sketch of an eighth of their shingles
+ESTIMATED = 0.45  # least similarity of sketches at which a document is measured against its hub
 HUBBED = 0.6  # least similarity to its hub of a document that is treated as one of its copies
 
 
 def _class(shingle: Column) -> Column:
-    return F.shiftrightunsigned(shingle, 64 - 19)
+    return F.shiftrightunsigned(shingle, 64 - CLASS_BITS)
 
 
 def _class_counts(sets: DataFrame) -> np.ndarray:
@@ -51,7 +54,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             shingles = batch.column(1)
             flat, ends = shingles.flatten().to_numpy(zero_copy_only=False), np.diff(shingles.offsets.to_numpy())
             row = np.repeat(np.arange(len(ends)), ends)
-            order = np.lexsort((flat, counts.value[flat.view(np.uint64) >> np.uint64(64 - 19)], row))
+            order = np.lexsort((flat, counts.value[flat.view(np.uint64) >> np.uint64(64 - CLASS_BITS)], row))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
             base = ends - -(-ends.astype(np.int64) * percent // 100) + 1
             wanted = np.minimum(base + MOST - 1, ends)
@@ -75,6 +78,18 @@ def _linked(both: Column | str, a: Column | str, b: Column | str, percent: int)
     return 100 * both >= percent * (a + b - both)
 
 
+def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose sketches are alike; a sketch holds the shingles that an eighth of all hashes fall on."""
+    pairs = stage(pairs, "hub_pairs")
+    ids = stage(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
+    few = stage(join_counted(sets.select("id", "n", "sketch"), ids, "id", "left_semi"), "sketches")
+    eighth = lambda c: F.filter(c, lambda x: x.bitwiseAND(F.lit(7)) == 0)
+    joined = pairs.join(few.select(F.col("id").alias("src"), F.col("n").alias("na"), F.col("sketch").alias("a")), "src").join(few.select(F.col("id").alias("dst"), F.col("n").alias("nb"), F.col("sketch").alias("b")), "dst")
+    thin = joined.withColumns({"a": F.when(F.greatest("na", "nb") > SKETCHED, eighth("a")).otherwise(F.col("a")), "b": F.when(F.greatest("na", "nb") > SKETCHED, eighth("b")).otherwise(F.col("b"))})
+    both = F.size(F.array_intersect("a", "b"))
+    return thin.where(both >= ESTIMATED * (F.size("a") + F.size("b") - both)).select("src", "dst")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     measured = _with_sets(pairs.select("src", "dst").distinct(), sets).select("src", "dst", F.size(F.array_intersect("a", "b")).alias("both"), F.size("a").alias("na"), F.size("b").alias("nb"))
     return stage(measured.where(_linked("both", "na", "nb", percent)).select("src", "dst"), "links")
@@ -148,12 +163,17 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, key: st
     with nothing and are their own component. Rows with equal keys are taken as one document with several
     sets; a null key keeps its row with a null component. An empty table gives no rows; other columns are not read.
     """
-    sets = stage(docs.select(F.col(key).cast("long").alias("id"), shingle_set(F.col(text), width).alias("s")).select("id", "s", F.size("s").alias("n"), F.xxhash64(F.array_sort("s")).alias("h"), F.xxhash64(F.lit(1), F.array_sort("s")).alias("g")), "sets")
+    folded = lower_ascii(F.coalesce(F.col(text), F.lit("")))
+    sets = docs.select(F.col(key).cast("long").alias("id"), shingle_set(F.col(text), width).alias("s"), F.xxhash64(folded).alias("h"), F.xxhash64(F.lit(1), folded).alias("g"))
+    sketch = F.when(F.size("s") <= SKETCHED, F.col("s")).otherwise(F.filter("s", lambda x: x.bitwiseAND(F.lit(7)) == 0))
+    sets = stage(sets.select("id", "s", F.size("s").alias("n"), sketch.alias("sketch"), "h", "g"), "sets")
     rows = sets.select("id", "n", "h", "g")
     nodes = stage(rows.where("n > 0 and id is not null").groupBy("n", "h", "g").agg(F.min("id").alias("node")), "classes")
-    prefixes = _prefixes(sets, percent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    ids = stage(nodes.select(F.col("node").alias("id")).distinct(), "ids")
+    prefixes = stage(_prefixes(join_counted(sets, ids, "id", "left_semi"), percent), "prefixes")
     lists = _lists(prefixes)
-    hubs = _with_sets(_hubs(lists), sets).select("src", "dst", F.size("a").alias("n"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"), F.array_except("a", "b").alias("rest"))
+    discard(prefixes)
+    hubs = _with_sets(_promising(_hubs(lists), sets), sets).select("src", "dst", F.size("a").alias("n"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"), F.array_except("a", "b").alias("rest"))
     hubs = stage(hubs.where(100 * F.col("both") >= HUBBED * 100 * (F.col("n") + F.col("nb") - F.col("both"))), "hubs")
     links = stage(hubs.where(_linked("both", "n", "nb", percent)).select("src", "dst"), "links")
     found = stage(connected_components(links), "components")
