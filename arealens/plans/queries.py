@@ -417,7 +417,7 @@ def _(areas):
     return cities.join(others, F.col("city") != F.col("_c")).groupBy("city", "a").agg(F.median("ratio").alias("m")).select("city", r(F.col("a") * F.col("m"), 4).alias("level"))
 
 
-@query("x1_morans_i", "areas", sql=f"WITH z AS (SELECT id, state, balance - avg(balance) OVER (PARTITION BY state) AS z FROM areas), e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({KNN}) WHERE rnk <= 6) SELECT state, round(sum(w * a.z * b.z) / max(s) * max(n) / sum(w), 6) AS i FROM e JOIN z a ON a.id = src JOIN z b ON b.id = dst JOIN (SELECT state, sum(z * z) AS s, count(*) AS n FROM z GROUP BY state) USING (state) GROUP BY state")
+@query("x1_morans_i", "areas", sql=f"WITH z AS (SELECT id, state, balance - avg(balance) OVER (PARTITION BY state) AS z FROM areas), e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({KNN}) WHERE rnk <= 6) SELECT a.state, round(sum(w * a.z * b.z) / max(s) * max(n) / sum(w), 6) AS i FROM e JOIN z a ON a.id = src JOIN z b ON b.id = dst JOIN (SELECT state, sum(z * z) AS s, count(*) AS n FROM z GROUP BY state) t ON t.state = a.state GROUP BY a.state")
 def _(areas):
     z = areas.select("id", "state", C.demeaned("balance", "state").alias("z"))
     edges = spatial.knn(areas, 6, 12.0, ("state",))
