@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,3 +65,10 @@ def as_of_latest(panel: DataFrame, key: str, time: str, at: Column | int, values
     at = F.lit(at) if isinstance(at, int) else at
     kept = panel.where(F.col(time) <= at).groupBy(key).agg(F.max_by(F.struct(time, *values), F.col(time)).alias("_t"))
     return kept.select(key, F.col(f"_t.{time}").alias(f"{time}_used"), *[F.col(f"_t.{v}").alias(v) for v in values])
+
+
+def match_predicate(code: str, codes: Sequence, names: Sequence[str], patterns: Sequence[str]) -> Column:
+    """Rows with one of ``codes`` (any, if there are none) of which some name is like some pattern (any, if there are none)."""
+    coded = F.col(code).isin(list(codes)) if codes else F.lit(True)
+    named = [F.col(n).like(p) for p in patterns for n in names]
+    return coded & (reduce(lambda a, b: a | b, named) if named else F.lit(True))
