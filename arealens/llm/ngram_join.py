@@ -1,7 +1,9 @@
 """Jaccard join on word shingles by adaptive multi-match prefixes.
 
-Shingles are ordered from rare to frequent (counts in hashed classes, then the hash). A document of n
-shingles and its partner share t = ceil(threshold * n) or more, so their first n - t + m shingles have m
+Shingles are ordered from rare to frequent: first by whether they are common, then by counts in hashed
+classes, then by the hash. Common are those in COMMON or more of the documents' leading shingles (the first of the
+order by class, LEADING times as many as a prefix has), which are counted one by one; so the passages that many
+documents share come last, however large the corpus. A document of n shingles and its partner share t = ceil(threshold * n) or more, so their first n - t + m shingles have m
 in common: a pair is verified only if it shares min(m, m') prefix shingles, m and m' being chosen
 by each document from the lengths of its lists and the candidates they promise.
 
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from arealens.scratch import discard, stage
 
 CLASS_BITS = 18
 CLASSES = 1 << CLASS_BITS  # of the shingle counts; a fixed 2 MB on the driver and each worker
+LEADING = 1.5
+COMMON = 8  # documents that make a shingle common
 MOST = 4  # largest number of prefix shingles that a scheme asks for
 VERIFY = 20.0  # cost of a verification, in list entries
 SKETCHED = 64  # sets above this size have a sketch of an eighth of their shingles
@@ -45,9 +50,11 @@ def _class_counts(sets: DataFrame) -> np.ndarray:
     return counts
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, base, prefix): the first base + MOST - 1 shingles by rising count; base is the length of the one-match prefix."""
-    counts = sets.sparkSession.sparkContext.broadcast(_class_counts(sets))
+def _by_class(sets: DataFrame, counts: Broadcast, percent: int, times: float | None) -> DataFrame:
+    """(id, n, base, most, prefix): shingles by rising count of their class, ``times`` * most of them or all (None).
+
+    base is the length of the one-match prefix, most that of the longest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,12 +64,41 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((flat, counts.value[flat.view(np.uint64) >> np.uint64(64 - CLASS_BITS)], row))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
             base = ends - -(-ends.astype(np.int64) * percent // 100) + 1
-            wanted = np.minimum(base + MOST - 1, ends)
+            most = np.minimum(base + MOST - 1, ends)
+            wanted = ends if times is None else np.minimum(np.ceil(times * most).astype(ends.dtype), ends)
             flat = flat[order][place < wanted[row]]
             prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends.astype(np.int32)), pa.array(base.astype(np.int32)), prefix], ["id", "n", "base", "prefix"])
+            numbers = [pa.array(x.astype(np.int32)) for x in (ends, base, most)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, prefix], ["id", "n", "base", "most", "prefix"])
+
+    return sets.where("n > 0").select("id", "s").mapInArrow(run, "id long, n int, base int, most int, prefix array<long>")
 
-    return sets.where("n > 0").select("id", "s").mapInArrow(run, "id long, n int, base int, prefix array<long>")
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, base, prefix): the first base + MOST - 1 shingles, common ones last.
+
+    The leading shingles hold the whole prefix unless too many of them are common; only documents with too few others
+    have all their shingles looked up.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_class_counts(sets))
+    leading = stage(_by_class(sets, counts, percent, LEADING), "leading")
+    seen = leading.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    common = stage(seen.where(F.col("df") >= COMMON).select("token"), "common_shingles")
+    places = leading.select("id", F.posexplode("prefix").alias("pos", "token"))
+    skipped = stage(join_counted(places, common, "token").groupBy("id").agg(F.collect_list("pos").alias("skip")), "skipped")
+    cut = leading.join(skipped, "id", "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<int>")))
+    rare = F.when(F.size("skip") == 0, F.col("prefix")).otherwise(F.filter("prefix", lambda x, i: ~F.array_contains("skip", i)))
+    cut = stage(cut.select("id", "n", "base", "most", F.slice(rare, F.lit(1), F.col("most")).alias("prefix")), "rare")
+    discard(leading)
+    short = stage(cut.where(F.size("prefix") < F.col("most")).select("id"), "short")
+    whole = _by_class(join_counted(sets, short, "id", "left_semi"), counts, percent, None)
+    tokens = join_counted(whole.select("id", "n", "base", "most", F.posexplode("prefix").alias("pos", "token")), common.withColumn("common", F.lit(1)), "token", "left")
+    place = F.struct(F.coalesce("common", F.lit(0)).alias("common"), "pos", "token")
+    ordered = tokens.groupBy("id", "n", "base", "most").agg(F.array_sort(F.collect_list(place)).alias("all"))
+    filled = ordered.select("id", "n", "base", F.slice("all.token", F.lit(1), F.col("most")).alias("prefix"))
+    prefixes = stage(cut.where(F.size("prefix") == F.col("most")).select("id", "n", "base", "prefix").unionByName(filled), "prefixes")
+    discard(cut)
+    return prefixes
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -82,7 +118,8 @@ def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sketches are alike; a sketch holds the shingles that an eighth of all hashes fall on."""
     pairs = stage(pairs, "hub_pairs")
     ids = stage(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
-    few = stage(join_counted(sets.select("id", "n", "sketch"), ids, "id", "left_semi"), "sketches")
+    sketch = F.when(F.col("n") <= SKETCHED, F.col("s")).otherwise(F.filter("s", lambda x: x.bitwiseAND(F.lit(7)) == 0))
+    few = stage(join_counted(sets.select("id", "n", "s"), ids, "id", "left_semi").select("id", "n", sketch.alias("sketch")), "sketches")
     eighth = lambda c: F.filter(c, lambda x: x.bitwiseAND(F.lit(7)) == 0)
     joined = pairs.join(few.select(F.col("id").alias("src"), F.col("n").alias("na"), F.col("sketch").alias("a")), "src").join(few.select(F.col("id").alias("dst"), F.col("n").alias("nb"), F.col("sketch").alias("b")), "dst")
     thin = joined.withColumns({"a": F.when(F.greatest("na", "nb") > SKETCHED, eighth("a")).otherwise(F.col("a")), "b": F.when(F.greatest("na", "nb") > SKETCHED, eighth("b")).otherwise(F.col("b"))})
@@ -165,12 +202,11 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, key: st
     """
     folded = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     sets = docs.select(F.col(key).cast("long").alias("id"), shingle_set(F.col(text), width).alias("s"), F.xxhash64(folded).alias("h"), F.xxhash64(F.lit(1), folded).alias("g"))
-    sketch = F.when(F.size("s") <= SKETCHED, F.col("s")).otherwise(F.filter("s", lambda x: x.bitwiseAND(F.lit(7)) == 0))
-    sets = stage(sets.select("id", "s", F.size("s").alias("n"), sketch.alias("sketch"), "h", "g"), "sets")
+    sets = stage(sets.select("id", "s", F.size("s").alias("n"), "h", "g"), "sets")
     rows = sets.select("id", "n", "h", "g")
     nodes = stage(rows.where("n > 0 and id is not null").groupBy("n", "h", "g").agg(F.min("id").alias("node")), "classes")
     ids = stage(nodes.select(F.col("node").alias("id")).distinct(), "ids")
-    prefixes = stage(_prefixes(join_counted(sets, ids, "id", "left_semi"), percent), "prefixes")
+    prefixes = _prefixes(join_counted(sets, ids, "id", "left_semi"), percent)
     lists = _lists(prefixes)
     discard(prefixes)
     hubs = _with_sets(_promising(_hubs(lists), sets), sets).select("src", "dst", F.size("a").alias("n"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"), F.array_except("a", "b").alias("rest"))

@@ -39,10 +39,23 @@ def path(name):
     return public_tokenizers.path(name)
 
 
-def test_ngram_components_equal_brute_force(spark):
+def with_passages(seed, n):
+    """Texts around one long passage, from a small part of them to nearly all."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        own = [f"o{rng.randrange(400)}" for _ in range(rng.choice([1, 3, 6, 10, 30, 200]))]
+        cut = rng.choice([0, 0, 1, 5, 40])
+        at = rng.randrange(len(own) + 1)
+        texts.append(" ".join(own[:at] + passage[cut:] + own[at:]))
+    return [(i, t, "en", "s", len(t), 0) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rows", [made(1, 150) + [(1000 + i, *r[1:]) for i, r in enumerate(EDGE[:3])], with_passages(2, 120)], ids=["copies", "passages"])
+def test_ngram_components_equal_brute_force(spark, rows):
     from arealens.llm.ngram_join import ngram_components
 
-    rows = made(1, 150) + [(1000 + i, *r[1:]) for i, r in enumerate(EDGE[:3])]
     got = {r[0]: (r[1], r[2]) for r in ngram_components(docs_of(spark, rows)).collect()}
     sets = {}
     for d, t, *_ in rows:
