@@ -2,9 +2,12 @@
 
 The tree is fitted on a bounded sample (FIT_ROWS vectors by least hash of their ids); every vector is then
 dealt to a leaf. A query walks the tree through a priority queue of the branches not taken, which
-yields leaves in order of their promise; how many it visits is set on CALIBRATE queries by widening until
-their recall against brute force over all vectors reaches the aim. Scores are added up
-component by component in double precision, so equal vectors score equally wherever they lie.
+yields leaves in order of their promise; how many it visits is set on CALIBRATE queries, whose true neighbours are found
+by brute force over all vectors: visits are widened leaf by leaf until the recall of these queries reaches the aim.
+Scores are added up component by component in double precision, so equal vectors score equally wherever they lie.
+
+Leaves are searched in chunks of vectors. A task holds one chunk and streams the queries that visit it, so vectors are
+moved once, however many queries there are; only a leaf with more than VISITS of them has its chunks repeated.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +26,11 @@ from arealens.scratch import stage
 
 FIT_ROWS = 20_000
 CALIBRATE = 100
-CHUNK = 2_000  # vectors of a leaf that one group holds
-QUERY_BLOCK = 500
+CHUNK = 2_000  # vectors of a leaf that one task holds at a time
+VISITS = 50_000  # queries of a leaf that one chunk answers; beyond it the chunk is repeated
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
 
 
 class Tree:
@@ -110,17 +117,29 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def _chunk_search(pairs: DataFrame, k: int) -> DataFrame:
-    """Best k of each (query, chunk): pairs has a group's queries (side 0) and vectors (side 1) as rows."""
+def _chunk_search(rows: DataFrame, k: int) -> DataFrame:
+    """Best k of each (query, chunk): rows are vectors (side 0) and queries (side 1) of (leaf, chunk, block)."""
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        queries, vectors = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if queries.empty or vectors.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        matrix = lambda x: np.array(x["v"].tolist(), np.float64)
-        return _best(queries["id"].to_numpy(), matrix(queries), vectors["id"].to_numpy(), matrix(vectors), k)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, vectors = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)], axis=1)
+            own = batch.column(4).to_numpy(zero_copy_only=False)
+            v = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else None
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1 if len(own) else []
+            for rows in np.split(np.arange(len(own)), cuts) if len(own) else []:
+                *group, side = keys[rows[0]].tolist()
+                if side == 0:
+                    fresh = held != group
+                    ids = own[rows] if fresh else np.concatenate([ids, own[rows]])
+                    vectors = v[rows] if fresh else np.concatenate([vectors, v[rows]])
+                    held = group
+                elif held == group:
+                    yield pa.RecordBatch.from_pandas(_best(own[rows], v[rows], ids, vectors, k).assign(leaf=group[0]), schema=FOUND, preserve_index=False)
 
-    return pairs.groupBy("leaf", "chunk", "block").applyInPandas(search, "query_id long, vec_id long, score double")
+    keys = ["leaf", "chunk", "block"]
+    sorted_rows = rows.select(*keys, "side", "id", "v").repartition(*keys).sortWithinPartitions(*keys, "side")
+    return sorted_rows.mapInArrow(search, "query_id long, vec_id long, score double, leaf long")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -149,42 +168,44 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
         return pd.Series(shared.value.leaves(np.array(v.tolist())) if len(v) else [], dtype="int64")
 
     index = stage(sound.withColumn("leaf", leaf_of("v")), "index")
-    sizes = index.groupBy("leaf").count()
     # A leaf's rows are dealt over chunks by hash, as many as its size asks for: equal vectors all share one leaf.
-    chunks = stage(sizes.select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "chunks")
+    chunks = stage(index.groupBy("leaf").agg(F.count("*").alias("held"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
+    held = dict(chunks.select("leaf", "held").toPandas().itertuples(index=False))  # one number a leaf of the tree
     dealt = join_counted(index, chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int"))
     queries = index.where(F.col("id") % every == 0).select("id", "v")
 
     def search(asked: DataFrame, widest: int) -> DataFrame:
-        """Best k per (query, chunk) over the first ``widest`` leaves of each query."""
+        """Best k per (query, chunk) over the first ``widest`` leaves of each query, more if they hold too few vectors."""
 
         @F.pandas_udf("array<long>")
         def route(v: pd.Series) -> pd.Series:
-            return pd.Series([[leaf for _, leaf in zip(range(widest), shared.value.visits(np.array(x)))] for x in v])  # noqa: B905
-
-        routed = asked.withColumn("route", route("v")).select("id", "v", F.posexplode("route").alias("step", "leaf"))
-        routed = join_counted(routed, chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        routed = routed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        wanted = routed.select("leaf", "chunk", "block").distinct()
-        side = lambda df, n: df.select("leaf", "chunk", "block", F.lit(n).alias("side"), "id", "v")
-        return _chunk_search(side(routed, 0).unionByName(side(dealt.join(wanted, ["leaf", "chunk"]), 1)), k)
+            def leaves_of(x: list[float]) -> list[int]:
+                seen, room = [], 0
+                for leaf in shared.value.visits(np.array(x)):
+                    if len(seen) >= widest and room > k:
+                        break
+                    seen.append(leaf)
+                    room += held.get(leaf, 0)
+                return seen
+
+            return pd.Series([leaves_of(x) for x in v])
+
+        routes = stage(asked.select("id", "v", F.explode(route("v")).alias("leaf")), "routes")
+        loads = routes.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
+        loads = stage(loads.join(chunks, "leaf").select("leaf", "chunks", "blocks"), "loads")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = join_counted(routes, loads, "leaf").withColumn("chunk", each("chunks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        asked_of = join_counted(dealt.drop("chunks"), loads.drop("chunks"), "leaf").withColumn("block", each("blocks"))
+        side = lambda df, n: df.select(*[F.col(c).cast("long") for c in ("leaf", "chunk", "block")], F.lit(n).cast("long").alias("side"), "id", "v")
+        return _chunk_search(side(asked_of, 0).unionByName(side(asking, 1)), k)
 
     def top(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     probe = stage(queries.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(CALIBRATE), "probe")
-    truth = top(search(probe, leaves)).select("query_id", "vec_id").toPandas()
-    true = truth.groupby("query_id")["vec_id"].agg(set).to_dict()
-    widest = max(1, leaves // 32)
-    while widest < leaves:
-        got = top(search(probe, widest)).select("query_id", "vec_id").toPandas().groupby("query_id")["vec_id"].agg(set).to_dict()
-        hits = sum(len(s & got.get(q, set())) for q, s in true.items())
-        if hits >= recall * sum(map(len, true.values())):
-            break
-        widest = min(leaves, widest * 2)
-    if sum(map(len, true.values())) < k * len(true):
-        widest = leaves
+    truth = top(search(probe, leaves)).select("query_id", "leaf").toPandas()
+    order = {q: {leaf: at for at, leaf in enumerate(tree.visits(np.array(v)))} for q, v in probe.toPandas().itertuples(index=False)}
+    steps = np.sort([order[q][leaf] for q, leaf in truth.itertuples(index=False)])
+    widest = int(steps[int(np.ceil(recall * len(steps))) - 1]) + 1 if len(steps) else leaves
     return top(search(queries, widest)).select("query_id", "rank", "vec_id", "score", F.lit(widest).alias("leaves"))
