@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arealens.functions import columns as C
-from arealens.operators import cleaning, reports
+from arealens.operators import cleaning, ranks, reports
 from arealens.plans.queries import ORACLES, QUERIES, query, r
 from arealens.scratch import new_path
 from arealens.sources import tables
@@ -455,3 +455,187 @@ def _(facilities):
     near = spatial.pairs_within(facilities, facilities, 6.0).where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
     found = facilities.select("id").join(near, "id", "left").withColumn("n_neighbours", F.coalesce("n", F.lit(0)))
     return found.select("id", "n_neighbours", (F.col("n_neighbours") == 0).alias("island"))
+
+
+# Rows of the inventory that build on those above
+
+
+@query("s7_pull", "areas", sql="SELECT geoid AS area_key, population, jobs FROM areas")
+def _(areas):
+    return areas.select(F.col("geoid").alias("area_key"), "population", "jobs")
+
+
+@query("s10_stacked_parts", "exposures", sql="SELECT id, line, min(exposure) AS exposure FROM exposures WHERE carrier IN ('A', 'R') GROUP BY id, line")
+def _(exposures):
+    parts = [exposures.where(F.col("carrier").isin(*kept)) for kept in (("A",), ("R", "A"))]
+    # The natural id is not unique in what is loaded, so the row that stays is named.
+    return parts[0].unionByName(parts[1]).groupBy("id", "line").agg(F.min("exposure").alias("exposure"))
+
+
+@query("s11_class_filter", "facilities", sql="SELECT id, kind FROM facilities WHERE kind IN (0, 2)")
+def _(facilities):
+    path = new_path(facilities.sparkSession, "classes")
+    return tables.materialize(facilities.sparkSession, path, lambda: facilities.where(F.col("kind").isin(0, 2)).select("id", "kind"))
+
+
+@query("p22_constant_columns", "areas", sql="SELECT geoid, jobs, population FROM areas")
+def _(areas):
+    wide = areas.select("geoid", "jobs", "population", (F.col("jobs") * 0).alias("flat"))
+    spread = wide.agg(*[F.stddev(c).alias(c) for c in wide.columns[1:]]).first().asDict()
+    return wide.select("geoid", *[c for c, s in spread.items() if s])
+
+
+@query("j24_near_city", "areas", "facilities", sql="SELECT DISTINCT a.state, f.city FROM areas a JOIN facilities f ON pow(a.x - f.x, 2) + pow(a.y - f.y, 2) <= 4")
+def _(areas, facilities):
+    from arealens.operators import spatial
+
+    near = spatial.pairs_within(areas, facilities, 2.0)
+    named = near.join(areas.select(F.col("id").alias("src"), "state"), "src").join(facilities.select(F.col("id").alias("dst"), "city"), "dst")
+    return named.select("state", "city").distinct()
+
+
+@query("a19_parent_collapse", "exposures", sql="SELECT part // 10 AS parent, round(avg(exposure), 6) AS mean, round(sum(price), 2) AS total, string_agg(DISTINCT carrier, ',' ORDER BY carrier) AS carriers, min(occurred) AS first, max(occurred) AS last, count(DISTINCT carrier) AS n_carriers FROM exposures GROUP BY 1")
+def _(exposures):
+    found = exposures.groupBy(F.floor(F.col("part") / 10).alias("parent")).agg(
+        r(F.avg("exposure")).alias("mean"), r(F.sum("price"), 2).alias("total"), F.array_sort(F.collect_set("carrier")).alias("seen"), F.min("occurred").alias("first"), F.max("occurred").alias("last")
+    )
+    return found.select("parent", "mean", "total", F.array_join("seen", ",").alias("carriers"), "first", "last", F.size("seen").cast("long").alias("n_carriers"))
+
+
+@query("a26_pool_inventory", "areas", sql="SELECT city, count(*) AS raw, count(*) FILTER (population > 0) AS kept, sum(population) AS people, round(median(population) FILTER (population > 0), 6) AS mid, round(100.0 * count(*) FILTER (population = 0) / count(*), 6) AS dropped_pct, round(100.0 * count(*) FILTER (population > 0) / sum(count(*) FILTER (population > 0)) OVER (), 6) AS pool_pct FROM areas GROUP BY city")
+def _(areas):
+    kept = F.col("population") > 0
+    found = areas.groupBy("city").agg(F.count("*").alias("raw"), F.count_if(kept).alias("kept"), F.sum("population").alias("people"), r(F.median(F.when(kept, F.col("population")))).alias("mid"))
+    pool = found.agg(F.sum("kept").alias("pool"))
+    share = found.crossJoin(F.broadcast(pool))  # one row
+    return share.select("city", "raw", "kept", "people", "mid", r(100.0 * (F.col("raw") - F.col("kept")) / F.col("raw")).alias("dropped_pct"), r(100.0 * F.col("kept") / F.col("pool")).alias("pool_pct"))
+
+
+@query("a29_weighted_city_means", "areas", sql="WITH c AS (SELECT city, sum(balance * population) / sum(population) AS p, sum(jobs * population) / sum(population) AS o FROM areas GROUP BY city) SELECT round(corr(p, o), 6) AS r, round(avg(p), 6) AS predicted, round(avg(o), 6) AS observed FROM c")
+def _(areas):
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("population")), F.sum("population"))
+    cities = areas.groupBy("city").agg(mean("balance").alias("p"), mean("jobs").alias("o"))
+    return cities.agg(r(reports.safe_corr(F.col("p"), F.col("o"))).alias("r"), r(F.avg("p")).alias("predicted"), r(F.avg("o")).alias("observed"))
+
+
+@query("a32_aggregate_then_log", "exposures", sql="SELECT agency, round(ln(1 + sum(claims)), 6) AS log_claims FROM exposures GROUP BY agency")
+def _(exposures):
+    return exposures.groupBy("agency").agg(r(F.log1p(F.sum("claims"))).alias("log_claims"))
+
+
+@query("w1_latest_of_each", "incidents", sql="SELECT area_id, id, amount FROM incidents QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY occurred DESC, id) = 1")
+def _(incidents):
+    return incidents.groupBy("area_id").agg(F.max_by(F.struct("id", "amount"), F.struct("occurred", -F.col("id"))).alias("top")).select("area_id", "top.id", "top.amount")
+
+
+@query("w8_lift", "incidents", sql="WITH a AS (SELECT area_id, cast(sum(amount * 100) AS bigint) AS v FROM incidents GROUP BY 1), o AS (SELECT row_number() OVER (ORDER BY v DESC, area_id) AS k, count(*) OVER () AS n, v FROM a) SELECT p AS top_pct, round(sum(v) FILTER (100 * k <= p * n) / sum(v), 6) AS share FROM o, unnest([5, 10, 20, 30, 50]) AS t(p) GROUP BY p")
+def _(incidents):
+    sums = incidents.groupBy("area_id").agg(F.sum(F.col("amount") * 100).cast("decimal(38,6)").alias("v"))
+    sums = sums.select("area_id", F.round("v").cast("long").alias("v"))
+    total = sums.agg(F.count("*").alias("n"), F.sum("v").alias("all"), F.max("v").alias("top"))
+    # Ranks are counted within 1,024 ranges of the value and then over the ranges.
+    ranges = F.floor((F.col("top") - F.col("v")) * 1023 / F.greatest("top", F.lit(1)))
+    spread = sums.crossJoin(F.broadcast(total)).select("area_id", "v", (-F.col("v")).alias("down"), ranges.alias("range"), F.lit(1).alias("one"))  # one row
+    placed = ranks.running_sum(spread, [], ["down", "area_id"], "one", "before", chunk=F.col("range")).select("v", (F.col("before") + 1).alias("k"))
+    shares = placed.crossJoin(F.broadcast(total)).withColumn("top_pct", F.explode(F.array(*[F.lit(p) for p in (5, 10, 20, 30, 50)])))
+    return shares.groupBy("top_pct").agg(r(F.sum(F.when(100 * F.col("k") <= F.col("top_pct") * F.col("n"), F.col("v"))) / F.max("all")).alias("share"))
+
+
+@query("f10_city_anchor", "areas", sql="SELECT geoid, round(ln(1 + sum(jobs) OVER (PARTITION BY city)), 6) AS anchor FROM areas")
+def _(areas):
+    levels = areas.groupBy("city").agg(F.log1p(F.sum("jobs")).alias("anchor"))
+    return areas.join(levels, "city").select("geoid", r("anchor").alias("anchor"))
+
+
+@query("f12_proxies", "incidents", sql="SELECT id, round(ln(1 + coalesce(x, 0) + coalesce(y, 0)), 6) AS proxy, CASE WHEN x IS NULL THEN NULL ELSE x > 50 END AS flag FROM incidents")
+def _(incidents):
+    return incidents.select("id", r(F.log1p(F.coalesce("x", F.lit(0.0)) + F.coalesce("y", F.lit(0.0)))).alias("proxy"), (F.col("x") > 50).alias("flag"))
+
+
+@query("f14_overnight", "incidents", sql="SELECT id, (id % 30) * 3600 + (id % 60) * 60 AS seconds, ((id % 30) * 60 + id % 60) % 1440 >= 1320 OR ((id % 30) * 60 + id % 60) % 1440 < 300 AS overnight FROM incidents")
+def _(incidents):
+    clock = incidents.select("id", F.format_string("%02d:%02d:00", F.col("id") % 30, F.col("id") % 60).alias("at"))
+    part = lambda k: F.split("at", ":")[k].cast("long")
+    timed = clock.select("id", (part(0) * 3600 + part(1) * 60 + part(2)).alias("seconds"))
+    hour = F.pmod(F.col("seconds") / 3600, F.lit(24.0))
+    return timed.select("id", "seconds", ((hour >= 22) | (hour < 5)).alias("overnight"))
+
+
+@query("f22_rate_of_change", "areas", sql="WITH a AS (SELECT geoid, state, CASE WHEN population > 0 THEN jobs / population END AS v FROM areas), f AS (SELECT geoid, coalesce(v, avg(v) OVER (PARTITION BY state), avg(v) OVER ()) AS v FROM a), m AS (SELECT avg(v) AS m FROM f) SELECT geoid, round(least(m + 2 * abs(m), greatest(m - 2 * abs(m), v)), 6) AS rate FROM f, m")
+def _(areas):
+    rates = areas.select("geoid", "state", F.try_divide("jobs", "population").alias("v"))
+    states, nation = rates.groupBy("state").agg(F.avg("v").alias("s")), rates.agg(F.avg("v").alias("n"))
+    filled = rates.join(states, "state", "left").crossJoin(F.broadcast(nation)).select("geoid", F.coalesce("v", "s", "n").alias("v"))
+    mean, room = F.col("m"), 2 * F.abs("m")
+    clamped = filled.crossJoin(F.broadcast(filled.agg(F.avg("v").alias("m"))))  # one row
+    return clamped.select("geoid", r(F.least(mean + room, F.greatest(mean - room, F.col("v")))).alias("rate"))
+
+
+@query("f24_crosswalk", "exposures", sql="SELECT agency, round(sum(claims * exposure) / sum(exposure), 6) AS moved FROM exposures GROUP BY agency")
+def _(exposures):
+    weight = F.col("exposure").cast("double")
+    return exposures.groupBy("agency").agg(r(F.try_divide(F.sum(F.col("claims") * weight), F.sum(weight))).alias("moved"))
+
+
+@query("f25_fixed_scorer", "areas", sql="WITH s AS (SELECT geoid, population, jobs, pow(10, 0.2 + 0.001 * jobs + 0.0001 * population) AS p FROM areas), k AS (SELECT (sum(jobs * population) / sum(population)) / (sum(p * population) / sum(population)) AS k FROM s) SELECT geoid, round(p * k, 5) AS score FROM s, k")
+def _(areas):
+    coefficients = {"jobs": 0.001, "population": 0.0001}
+    scored = areas.withColumn("p", F.pow(F.lit(10.0), sum((F.col(c) * b for c, b in coefficients.items()), F.lit(0.2))))
+    scale = scored.agg(F.try_divide(F.sum(F.col("jobs") * F.col("population")), F.sum(F.col("p") * F.col("population"))).alias("k"))
+    return scored.crossJoin(F.broadcast(scale)).select("geoid", r(F.col("p") * F.col("k"), 5).alias("score"))
+
+
+@query("f26_low_tail", "areas", sql="WITH s AS (SELECT geoid, balance / 1e3 AS p FROM areas), m AS (SELECT min(p) AS m FROM s) SELECT geoid, round(CASE WHEN p < 0.5 THEN (p - m) / (0.5 - m) ELSE p END, 6) AS p FROM s, m")
+def _(areas):
+    scored = areas.select("geoid", (F.col("balance") / 1e3).alias("p"))
+    low = scored.agg(F.min("p").alias("m"))
+    return scored.crossJoin(F.broadcast(low)).select("geoid", r(F.when(F.col("p") < 0.5, (F.col("p") - F.col("m")) / (0.5 - F.col("m"))).otherwise(F.col("p"))).alias("p"))
+
+
+@query("f27_true_up", "areas", sql="WITH c AS (SELECT *, sum(jobs) OVER (PARTITION BY city) / nullif(sum(population) OVER (PARTITION BY city), 0) AS parent FROM areas), u AS (SELECT *, CASE WHEN population < 200 THEN parent ELSE balance / 1e3 END AS v FROM c), k AS (SELECT city, max(parent) * sum(population) / nullif(sum(v * population), 0) AS k FROM u WHERE population >= 200 GROUP BY city) SELECT geoid, round(CASE WHEN population < 200 THEN v ELSE v * k END, 6) AS v FROM u LEFT JOIN k USING (city)")
+def _(areas):
+    parents = areas.groupBy("city").agg(F.try_divide(F.sum("jobs"), F.sum("population")).alias("parent"))
+    tiny = F.col("population") < 200
+    used = areas.join(parents, "city").withColumn("v", F.when(tiny, F.col("parent")).otherwise(F.col("balance") / 1e3))
+    scale = used.where(~tiny).groupBy("city").agg(F.try_divide(F.max("parent") * F.sum("population"), F.sum(F.col("v") * F.col("population"))).alias("k"))
+    return used.join(scale, "city", "left").select("geoid", r(F.when(tiny, F.col("v")).otherwise(F.col("v") * F.col("k"))).alias("v"))
+
+
+@query("f29_families", "part", sql="SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'promo' WHEN p_type LIKE '%BRASS' THEN 'brass' WHEN p_type LIKE '%STEEL' THEN 'steel' ELSE 'other' END AS family FROM part")
+def _(part):
+    kind = F.col("p_type")
+    return part.select("p_partkey", F.when(kind.startswith("PROMO"), "promo").when(kind.endswith("BRASS"), "brass").when(kind.endswith("STEEL"), "steel").otherwise("other").alias("family"))
+
+
+@query("f31_shares", "areas", sql="SELECT geoid, round(CASE WHEN population = 0 THEN 0 ELSE jobs / population END, 6) AS share, CASE WHEN segment IS NULL OR segment = 'BUILDING' THEN concat('C', cast(city AS varchar)) ELSE segment END AS code FROM areas")
+def _(areas):
+    share = F.when(F.col("population") == 0, F.lit(0.0)).otherwise(F.try_divide("jobs", "population"))
+    return areas.select("geoid", r(share).alias("share"), F.when(F.col("segment").isNull() | (F.col("segment") == "BUILDING"), F.concat(F.lit("C"), "city")).otherwise(F.col("segment")).alias("code"))
+
+
+@query("f32_block_fill", "incidents", sql="SELECT id, CASE WHEN status = 'F' AND y IS NOT NULL THEN coalesce(x, 0) ELSE x END AS x FROM incidents")
+def _(incidents):
+    return incidents.select("id", F.when((F.col("status") == "F") & F.col("y").isNotNull(), F.coalesce("x", F.lit(0.0))).otherwise(F.col("x")).alias("x"))
+
+
+@query("t5_target_correlations", "areas", sql="SELECT unnest(['jobs', 'population']) AS candidate, round(unnest([corr(balance, jobs), corr(balance, population)]), 6) AS r FROM areas")
+def _(areas):
+    return reports.correlations(areas, ["balance", "jobs", "population"]).where("a = 'balance'").select(F.col("b").alias("candidate"), r("r").alias("r"))
+
+
+CITY_FIT = "count(*) AS n, round(1 - sum(pow(jobs - population / 5, 2)) / nullif(sum(jobs * jobs) - sum(jobs) * sum(jobs) / count(*), 0), 6) AS r2, round(avg(abs(jobs - population / 5)), 6) AS mae FROM areas"
+
+
+@query("e3_city_scores", "areas", sql=f"SELECT cast(city AS varchar) AS city, {CITY_FIT} GROUP BY city UNION ALL SELECT 'POOLED', {CITY_FIT}")
+def _(areas):
+    y, p = F.col("jobs"), F.col("population") / 5
+    sums = areas.groupBy("city").agg(F.count("*").alias("n"), F.sum(F.pow(y - p, F.lit(2))).alias("e"), F.sum(y * y).alias("q"), F.sum("jobs").alias("s"), F.sum(F.abs(y - p)).alias("m"))
+    total = sums.groupBy().agg(*[F.sum(c).alias(c) for c in ("n", "e", "q", "s", "m")]).select(F.lit("POOLED").alias("city"), "n", "e", "q", "s", "m")
+    rows = sums.withColumn("city", F.col("city").cast("string")).unionByName(total)
+    return rows.select("city", "n", r(1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n"))).alias("r2"), r(F.col("m") / F.col("n")).alias("mae"))
+
+
+@query("e10_fit_decomposition", "areas", sql="SELECT city, round(avg(jobs - balance), 4) AS shift, round(stddev_samp(jobs), 4) AS sd_y, round(stddev_samp(balance), 4) AS sd_p, round(pow(corr(jobs, balance), 2), 6) AS corr2 FROM areas GROUP BY city HAVING count(*) > 2")
+def _(areas):
+    found = areas.groupBy("city").agg(F.count("*").alias("n"), r(F.avg(F.col("jobs") - F.col("balance")), 4).alias("shift"), r(F.stddev("jobs"), 4).alias("sd_y"), r(F.stddev("balance"), 4).alias("sd_p"), r(F.pow(reports.safe_corr(F.col("jobs"), F.col("balance")), F.lit(2))).alias("corr2"))
+    return found.where("n > 2").drop("n")
