@@ -126,6 +126,15 @@ def test_lines_keep_one_of_each_group(spark):
     assert got[10] == (None, []) and got[11] == ("", [])
 
 
+def test_lines_are_compared_by_characters(spark):
+    from arealens.llm.line_dedup import _verify
+
+    forms = ["all rights reserved worldwide", "all rights reserved wordwide", "ein wort", "ein ort", "see the page of a b c d e f", "see the page of incomprehensibilities b c d e f"]
+    lines = spark.createDataFrame(list(enumerate(forms)), "id long, form string")
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "src long, dst long")
+    assert {tuple(r) for r in _verify(pairs, lines, 0.8).collect()} == {(0, 1), (2, 3)}
+
+
 def test_simhash_forms_agree(spark):
     from arealens.llm.line_dedup import simhash
 
