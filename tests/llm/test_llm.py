@@ -135,6 +135,36 @@ def test_lines_are_compared_by_characters(spark):
     assert {tuple(r) for r in _verify(pairs, lines, 0.8).collect()} == {(0, 1), (2, 3)}
 
 
+def test_lines_that_differ_by_a_word_or_letter_are_one(spark):
+    from arealens.llm.line_dedup import dedup_lines
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    pairs = [("all rights reserved worldwide", "all rights reserved wordwide"), ("\u6771\u4eac\u90fd\u306e\u5929\u6c17\u306f\u6674\u308c", "\u6771\u4eac\u90fd\u306e\u5929\u6c17\u306f\u96e8\u308c")]
+    for n, edits in [(10, 1), (20, 2), (30, 3), (50, 5)] * 10:
+        line = [word() for _ in range(n)]
+        other = list(line)
+        for i in rng.sample(range(n), edits):
+            other[i] = word()[: len(line[i])]
+        pairs.append((" ".join(line), " ".join(other)))
+    rows = [(2 * i + k, x, "en", "s", 0, 0) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    removed = {r["doc_id"] for r in dedup_lines(docs_of(spark, rows)).where("size(removed) = 1").collect()}
+    assert all(k % 2 for k in removed) and {1, 3} <= removed
+    assert len(removed) >= 0.9 * len(pairs)
+
+
+def test_lines_around_one_passage(spark):
+    from arealens.llm.line_dedup import dedup_lines
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    own = [" ".join(word() for _ in range(20)) for _ in range(400)]
+    texts = [f"{passage} {x}" for x in own] + [f"{passage} {x[:-6]}{word()}" for x in own[:50]]
+    removed = {r["doc_id"] for r in dedup_lines(docs_of(spark, [(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)])).where("size(removed) = 1").collect()}
+    assert removed <= set(range(400, 450)) and len(removed) >= 48
+
+
 def test_simhash_forms_agree(spark):
     from arealens.llm.line_dedup import simhash
 
