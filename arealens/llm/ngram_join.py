@@ -176,8 +176,10 @@ def _across_hubs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame
     placed: id, hub, component. Lists are met hub by hub, so members of one hub are never compared here.
     """
     entries = F.col("df") - 1
-    sums = lists.groupBy("id").agg(*[F.sum(F.when(F.col("pos") < F.col("base") + m - 1, entries).otherwise(0)).alias(f"e{m}") for m in range(1, MOST + 1)])
-    cost = lambda m: F.struct((F.col(f"e{m}") * (1 + VERIFY / m)).alias("cost"), F.lit(m).alias("m"))
+    sums = lists.groupBy("id").agg(F.min("n").alias("least"), *[F.sum(F.when(F.col("pos") < F.col("base") + m - 1, entries).otherwise(0)).alias(f"e{m}") for m in range(1, MOST + 1)])
+    # A link's overlap may be no more than ceil(threshold * n), so no scheme asks for more; with m = 1 it never does.
+    allowed = lambda m: F.lit(m == 1) | (F.lit(m) <= F.ceil(F.col("least") * percent / 100))
+    cost = lambda m: F.struct(F.when(allowed(m), F.col(f"e{m}") * (1 + VERIFY / m)).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(m).alias("m"))
     scheme = sums.select("id", F.least(*[cost(m) for m in range(1, MOST + 1)])["m"].alias("m"))
     rows = lists.join(scheme, "id").where("pos < base + m - 1").join(placed, "id").select("token", "id", "n", "m", "hub", "component")
     rows = stage(rows, "schemes")

@@ -73,6 +73,17 @@ def test_ngram_components_equal_brute_force(spark, rows):
     assert got == {d: (len(s), root[d]) for d, s in sets.items()}
 
 
+def test_ngram_components_of_short_texts_that_differ_in_white_space(spark):
+    from arealens.llm.ngram_join import ngram_components
+
+    short = ["a b c d", "a  b c d", "a b c d\n", "p q r s t", "p  q r s t", "p q r s t ", "k l m n o u", "k l  m n o u", "k l m n o u\n"]
+    shared = " ".join(f"s{i}" for i in range(40))
+    long = [f"{x} {shared}" for x in short[::3]] + [f"h{i} i{i} j{i} k{i} {shared}" for i in range(10)]
+    rows = [(i, t, "en", "s", 0, 0) for i, t in enumerate(short + long)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_components(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(9)] == [0, 0, 0, 3, 3, 3, 6, 6, 6]
+
+
 def test_ngram_components_of_an_empty_table(spark):
     from arealens.llm.ngram_join import ngram_components
 
