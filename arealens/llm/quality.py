@@ -20,8 +20,9 @@ SYMBOLS = "#*$%&|<>"
 #: Transformed statistics: mean word length (log), symbols a character (root), repeated lines' share, repeated words' share.
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Least standard deviation that a feature is taken to have; many groups have no symbols or repeats at all.
-FLOORS = (0.1, 0.1, 0.1, 0.08)
+FLOORS = (0.1, 0.07, 0.1, 0.08)
 CHI2_MEDIAN = 3.3567  # of 4 degrees of freedom
+CHI2_CUTOFF = 18.4668  # its quantile of 0.999
 
 
 def _covered(hashes: Column, width: int) -> Column:
@@ -135,21 +136,21 @@ def mcd_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataF
         sums = near.groupBy("g").agg(
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
         )
-        scatter = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else F.col(f"c{i}{j}") for i in p for j in range(i + 1)}
+        scatter = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"c{i}{j}") for i in p for j in range(i + 1)}
         estimates = stage(sums.select("g", *[f"m{i}" for i in p], *[c.alias(k) for k, c in _root(scatter).items()]), "mcd")
     middle = _quantile_bucket(_with_distance(rows, estimates), "b", 0.5)
     scale = F.greatest(F.exp((F.col("b_q") + 0.5) / CLASSES) / CHI2_MEDIAN, F.lit(1.0))
     return stage(estimates.join(middle, "g").join(sizes, "g").select("*", scale.alias("scale")).drop("b_q"), "mcd")
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 45.0, min_group: int = 60, key: str = "doc_id") -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CHI2_CUTOFF, min_group: int = 60, key: str = "doc_id") -> DataFrame:
     """Verdict on every row of ``docs`` (``key``, text, lang, source).
 
     Returns ``key``, text_hash, the statistics, base_failed, distance (scaled squared Mahalanobis distance, null if not measured)
     and kept. base_failed: fewer than 50 words, or over half of the words in repeated three-word windows;
     such rows are not kept and take no part in the estimates. The others are measured against their
     (lang, source) group, against their language where the group has under ``min_group`` rows, and are
-    kept unmeasured where that has too few as well. Rows beyond ``cutoff`` (chi-square of 4 degrees of freedom exceeds 45 with probability 4e-9) are not kept.
+    kept unmeasured where that has too few as well. Rows beyond ``cutoff`` (by default what chi-square of 4 degrees of freedom exceeds with probability 0.001) are not kept.
 
     Null lang or source is a value of its own; null or empty text has zero counts and fails the base
     rules; repeated rows are judged alike; an empty table gives no rows. Other columns of ``docs`` are not read.

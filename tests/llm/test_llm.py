@@ -124,6 +124,20 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == set(range(200))
 
 
+def test_quality_rejects_each_kind_of_junk(spark):
+    from arealens.llm.quality import quality_rules
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    clean = ["\n".join(" ".join(word() for _ in range(8)) for _ in range(20)) for _ in range(300)]
+    symbols = [x.replace(" ", "# ") for x in clean[:3]]
+    lines = ["\n".join([*x.split("\n")[:12], *["ab cd"] * 8]) for x in clean[3:6]]
+    repeats = [" ".join(x.split()[:90] + x.split()[:30]) for x in clean[6:9]]
+    rows = [(i, t, "en", "s", 0, 0) for i, t in enumerate(clean + symbols + lines + repeats)]
+    dropped = {r["doc_id"] for r in quality_rules(docs_of(spark, rows)).where("not kept").collect()}
+    assert set(range(300, 309)) <= dropped and len(dropped) <= 309 - 300 + 3
+
+
 def test_lines_keep_one_of_each_group(spark):
     from arealens.llm.line_dedup import dedup_lines
 
