@@ -5,8 +5,11 @@ A word is a run of characters other than space and ``\\t\\n\\v\\f\\r``; null tex
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +37,23 @@ def window_hashes(items: Column, width: int) -> Column:
     return let(items, lambda w: F.when(F.size(w) >= width, hashed(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def shingle_set(text: Column, width: int) -> Column:
-    """Distinct hashes of the ``width``-word shingles of ``text`` with A-Z lower-cased.
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about ``most``, or a row that has more."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, stop
+        at = stop
 
-    A text of fewer words has one shingle, all its words; a text without words has none.
-    """
-    whole = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>"))
-    return let(words(lower_ascii(text)), lambda w: F.when(F.size(w) >= width, F.array_distinct(window_hashes(w, width))).otherwise(whole(w)))
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text in ``column``; copies, as the ASCII kernels misread slices."""
+    for at, stop in _cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), most):
+        yield batch.take(pa.array(np.arange(at, stop)))
+
+
+def list_slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` values in the lists of ``column``."""
+    for at, stop in _cuts(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), most):
+        yield batch.slice(at, stop - at)

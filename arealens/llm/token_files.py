@@ -10,40 +10,39 @@ Layout of a file set (two Parquet tables, so that Spark commits and finds them a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arealens.llm.huffman import canonical_codes, code_lengths, decoding_table, pack, unpack
+from arealens.llm.text import text_slices
 from arealens.scratch import new_path, stage
 
 ROW_IDS = 400_000  # ids in a row of ``blocks``, unless one document has more
 
-_WORDS = re.compile(r"[^ \n\t\r]+")
-
-
 class WordCachedTokenizer:
     """The library's encoder, asked once for each word while it is remembered.
 
     The tokenizer drops white space and never merges across it, and normalises characters without looking
-    across it, so the ids of a text are those of its words. Where a word is letters followed by
-    ASCII stops, the letters are encoded apart, as the tokenizer's own splitting does; ASCII letters are lower-cased first.
+    across it, so the ids of a text are those of its words. A slice's words are numbered in Arrow and looked up among the
+    remembered ones there as well; only new words reach the library, and all ids are gathered from one pool.
     """
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000, run: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
-        self.cores: dict[str, bytes] = {}
+        self.limit, self.run = limit, run
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.checked = self._by_words()
+        self.words, self.sizes, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _by_words(self) -> bool:
         """Whether the tokenizer is of the kind that this class may take apart; others encode whole texts."""
@@ -54,32 +53,54 @@ class WordCachedTokenizer:
         split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         return kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and "[\\p{L}]+" in split["pattern"].get("Regex", "")
 
-    def _new(self, words: list[str]) -> None:
-        cut = [(w, w.rstrip(".,")) for w in words]
-        cut = [(w, c.lower(), w[len(c) :]) if c.isascii() and c.isalpha() else (w, w, "") for w, c in cut]
-        asked = [x for x in dict.fromkeys(x for _, c, p in cut for x in (c, p) if x) if x not in self.cores]
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-            asked = list(dict.fromkeys(x for _, c, p in cut for x in (c, p) if x))
-        for x, e in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.cores[x] = np.array(e.ids, self.dtype).tobytes()
-        if len(self.known) > self.limit:
-            self.known.clear()
-        for w, c, p in cut:
-            self.known[w] = self.cores[c] + self.cores[p] if p else self.cores[c]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of ``dtype``."""
+    def _places(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where each of distinct words has its ids, and how many; words met more than once are remembered."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        coded = [e.ids for e in self.library.encode_batch_fast(words.take(pa.array(fresh)).to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        own = np.fromiter(chain.from_iterable(coded), self.dtype, int(sizes.sum()))
+        at[fresh] = len(self.words) + np.arange(len(fresh))
+        size = np.concatenate([self.sizes, sizes])
+        found = np.concatenate([self.pool, own]), (np.cumsum(size) - size)[at], size[at]
+        again = (counts[fresh] > 1) & (len(self.words) + np.arange(len(fresh)) < self.limit)
+        if again.any():
+            self.pool = np.concatenate([self.pool, own[np.repeat(again, sizes)]])
+            self.sizes = np.concatenate([self.sizes, sizes[again]])
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(fresh[again]))])
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Ids of each text and ``end_id`` as little-endian numbers of ``dtype`` (large binary); ``texts`` is no slice of an array."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.checked:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [_WORDS.findall(x) for x in texts]
-        known = self.known
-        if fresh := {w for ws in words for w in ws if w not in known}:
-            if len(known) + len(fresh) > self.limit:
-                known.clear()
-                fresh = {w for ws in words for w in ws}
-            self._new(list(fresh))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            coded = self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([np.array([*e.ids, end_id], self.dtype).tobytes() for e in coded], pa.large_binary())
+        split = pc.ascii_split_whitespace(texts)
+        offsets, words = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        place = words.indices.to_numpy()
+        pool, starts, sizes = self._places(words.dictionary, np.bincount(place, minlength=len(words.dictionary)))
+        size = sizes[place]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ends = before[offsets[1:]] + np.arange(1, len(texts) + 1)  # with an end id each
+        ids = np.empty(int(before[-1]) + len(texts), self.dtype)
+        ids[ends - 1] = end_id
+        row = np.searchsorted(offsets, np.arange(0, len(place), self.run), side="right") - 1
+        for first, at in zip(range(0, len(place), self.run), row.tolist(), strict=True):
+            last = min(first + self.run, len(place))
+            own, n = starts[place[first:last]], size[first:last]
+            local = before[first : last + 1] - before[first]
+            flat = pool[np.arange(local[-1]) + np.repeat(own - local[:-1], n)]
+            # Where a text ends within the run, its end id stands between.
+            cuts = before[offsets[at + 1 : np.searchsorted(offsets, last, side="left")]] - before[first]
+            into = np.arange(local[-1]) + before[first] + at
+            if len(cuts):
+                shift = np.zeros(local[-1] + 1, np.int64)
+                np.add.at(shift, cuts, 1)
+                into += np.cumsum(shift[:-1])
+            ids[into] = flat
+        bounds = np.concatenate([[0], ends]) * ids.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}
@@ -94,17 +115,14 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _tokenizers[path]
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_rows: int = 1000) -> DataFrame:
+def encode_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): token ids of each whole text and ``end_id``, packed little-endian; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        end = np.array([end_id], own.dtype).tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(i, slice_rows)
-                coded = own.encode([x or "" for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in coded], pa.binary())], ["key", "ids"])
+            for batch in text_slices(whole, 1, most=8_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0), own.encode(batch.column(1), end_id).cast(pa.binary())], ["key", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary")
 
