@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
+REMEMBERED = 200  # characters of the longest unit that is looked up, so that the tables stay small
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -125,18 +126,20 @@ class PieceEncoder:
                 ids = tuple(self.ids[p] for p in (self.merged(text) if text.startswith(MARK * 2) else self.backtrack(text)))
             if len(self.parts) >= self.unit_limit:
                 self.parts.clear()
-            self.parts[text] = ids
+            if len(text) <= REMEMBERED:
+                self.parts[text] = ids
         return ids
 
     def unit(self, text: str) -> tuple[int, ...]:
         """Ids of a unit: space marks, then no more of them. It is cut where no piece holds the two characters that meet."""
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         start, inside = 0, self.inside
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in inside:
                 out += self.part(text[start:k])
                 start = k
-        return out + self.part(text[start:])
+        out += self.part(text[start:])
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -151,7 +154,9 @@ class PieceEncoder:
             if ids is None:
                 if len(known) >= self.unit_limit:
                     known.clear()
-                ids = known[p] = self.unit(p if p[:1] == MARK else MARK + p)
+                ids = self.unit(p if p[:1] == MARK else MARK + p)
+                if len(p) <= REMEMBERED:
+                    known[p] = ids
             out += ids
         return out
 
