@@ -1,14 +1,29 @@
-"""Joins that broadcast one side only after counting it."""
+"""Joins that broadcast one side only after its rows are counted and their size is bounded."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a few numbers each that are broadcast, some tens of MB; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes that are broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
-def join_counted(large: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with ``small`` broadcast if it has at most BROADCAST_ROWS rows (``rows``: its count, if known), else shuffled."""
-    return large.join(F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else small, on, how)
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as broadcast: 24 for the hash table, 8 a number, and what strings and arrays hold."""
+    size = F.lit(24)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 8 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 + 8 * F.greatest(F.size(f.name), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def join_counted(large: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join with ``small`` (a table that is cheap to read twice) broadcast if it has at most BROADCAST_BYTES, else shuffled."""
+    held = small.agg(F.sum(row_bytes(small))).first()[0] or 0
+    return large.join(F.broadcast(small) if held <= BROADCAST_BYTES else small, on, how)
