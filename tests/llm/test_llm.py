@@ -155,11 +155,38 @@ def test_lines_are_compared_by_characters(spark):
     from arealens.llm.line_dedup import _verify
 
     forms = ["all rights reserved worldwide", "all rights reserved wordwide", "ein wort", "ein ort", "see the page of a b c d e f", "see the page of incomprehensibilities b c d e f"]
-    lines = spark.createDataFrame(list(enumerate(forms)), "id long, form string")
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(forms)], "id long, form string, size int")
     pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "src long, dst long")
     assert {tuple(r) for r in _verify(pairs, lines, 0.8).collect()} == {(0, 1), (2, 3)}
 
 
+def test_line_similarity_equals_levenshtein(spark):
+    from arealens.llm.line_dedup import similar
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7)))
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("x y", "x z y"), ("a", "b"), ("ab cd", "abcd"), ("one two three four five", "one two three four five six")]
+    for _ in range(200):
+        a = [word() for _ in range(rng.randint(1, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 4)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs = sorted({p for p in pairs if p[0] != p[1] and p[1]})
+    got = {tuple(r) for r in similar(spark.createDataFrame(pairs, "a string, b string"), 0.8).collect()}
+    assert got == {p for p in pairs if distance(*p) <= int(0.2 * max(map(len, p)) + 1e-9)}
+
+
 def test_lines_that_differ_by_a_word_or_letter_are_one(spark):
     from arealens.llm.line_dedup import dedup_lines
 
@@ -190,16 +217,6 @@ def test_lines_around_one_passage(spark):
     assert removed <= set(range(400, 450)) and len(removed) >= 48
 
 
-def test_simhash_forms_agree(spark):
-    from arealens.llm.line_dedup import simhash
-
-    rng = np.random.default_rng(0)
-    rows = [([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)],) for n in (1, 2, 7, 300, 600)]
-    for (hashes,), r in zip(rows, spark.createDataFrame(rows, "h array<long>").select(simhash(F.col("h"))).collect(), strict=True):
-        want = sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
-        assert r[0] == want
-
-
 def test_pieces_equal_the_library(spark):
     from arealens.llm.pieces import PieceEncoder, sentencepiece_round_trip
 
