@@ -39,9 +39,10 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``stage`` returned, once nothing still to be computed reads it."""
-    _delete(df.sparkSession, df._scratch_path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, once nothing still to be computed reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
