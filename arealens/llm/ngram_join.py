@@ -243,7 +243,7 @@ def _around_hubs(copies: DataFrame, percent: int) -> DataFrame:
     inner = off.alias("a").join(below.alias("b"), F.expr("a.hub = b.hub and a.component <> b.component") & room(F.lit(0)))
     # Else they share that many shingles outside it as a link asks for beyond the lesser ``both``. How many depends on the partner's size, so
     # each document has a prefix of its outer shingles, those rare around the hub first, for every class of sizes that may link with it.
-    share, step = percent / (100 + percent), 1.03
+    share, step = percent / (100 + percent), 1.1
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) + 1e-9).cast("int")
     outer = copies.select("hub", "id", "n", "both", "component", F.size("rest").alias("r"), F.explode("rest").alias("token"))
     df = outer.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("df > 1")
