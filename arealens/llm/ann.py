@@ -30,7 +30,7 @@ CHUNK = 2_000  # vectors of a leaf that one task holds at a time
 VISITS = 50_000  # queries of a leaf that one chunk answers; beyond it the chunk is repeated
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
+FOUND = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
 
 
 class Tree:
@@ -103,51 +103,54 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+def _best(asking: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of ``vectors`` for each query; ``asking`` and ``rows`` number the rows of the table, so that only a query's own row is left out."""
+    order = np.lexsort((rows, ids))
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     out = []
     for at in range(0, len(queries), 64):
+        own = asking[at : at + 64]
         scores = _scores(queries[at : at + 64], vectors)
-        scores[query_ids[at : at + 64, None] == ids[None, :]] = -np.inf
+        scores[own[:, None] == rows[None, :]] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(scores, top, axis=1)
-        frame = pd.DataFrame({"query_id": np.repeat(query_ids[at : at + 64], top.shape[1]), "vec_id": ids[top].ravel(), "score": found.ravel()})
+        frame = pd.DataFrame({"query": np.repeat(own, top.shape[1]), "row": rows[top].ravel(), "vec_id": ids[top].ravel(), "score": found.ravel()})
         out.append(frame[np.isfinite(frame["score"])])
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.concat(out) if out else pd.DataFrame({"query": [], "row": [], "vec_id": [], "score": []})
 
 
 def _chunk_search(rows: DataFrame, k: int) -> DataFrame:
     """Best k of each (query, chunk): rows are vectors (side 0) and queries (side 1) of (leaf, chunk, block)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, vectors = None, np.zeros(0, np.int64), None
+        held, numbers, ids, vectors = None, np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)], axis=1)
-            own = batch.column(4).to_numpy(zero_copy_only=False)
-            v = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else None
+            number, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
+            v = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else None
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1 if len(own) else []
             for rows in np.split(np.arange(len(own)), cuts) if len(own) else []:
                 *group, side = keys[rows[0]].tolist()
                 if side == 0:
                     fresh = held != group
+                    numbers = number[rows] if fresh else np.concatenate([numbers, number[rows]])
                     ids = own[rows] if fresh else np.concatenate([ids, own[rows]])
                     vectors = v[rows] if fresh else np.concatenate([vectors, v[rows]])
                     held = group
                 elif held == group:
-                    yield pa.RecordBatch.from_pandas(_best(own[rows], v[rows], ids, vectors, k).assign(leaf=group[0]), schema=FOUND, preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(_best(number[rows], v[rows], numbers, ids, vectors, k).assign(leaf=group[0]), schema=FOUND, preserve_index=False)
 
     keys = ["leaf", "chunk", "block"]
-    sorted_rows = rows.select(*keys, "side", "id", "v").repartition(*keys).sortWithinPartitions(*keys, "side")
-    return sorted_rows.mapInArrow(search, "query_id long, vec_id long, score double, leaf long")
+    sorted_rows = rows.select(*keys, "side", "row", "id", "v").repartition(*keys).sortWithinPartitions(*keys, "side")
+    return sorted_rows.mapInArrow(search, "query long, row long, vec_id long, score double, leaf long")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score, leaves): the k largest inner products found for rows whose key is divisible by ``every``.
 
     Rows with a null key or a vector that is null, empty, zero, of another length than most, or holds null or non-finite
-    components take no part. Ties go to the smaller vec_id; the query's own row is no candidate; repeated ids are
-    candidates each. If there are fewer than k candidates, or the aim asks for it, all leaves are visited. No rows, no
+    components take no part. Ties go to the smaller vec_id; a query's own row is no candidate of it. Rows of
+    one id are candidates each, also of one another, and those of a query's id are queries each, with a list of their own. If there are fewer than k candidates, or the aim asks for it, all leaves are visited. No rows, no
     result; other columns are not read.
     """
     spark = vectors.sparkSession
@@ -158,7 +161,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
     if widths is None:
         return empty
     sound = sound.where(F.size("v") == widths["w"])
-    sample = sound.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
+    # Only about as many rows as are fitted are sent to be sorted: those whose hash falls in that share of its range.
+    share = min(1.0, (1.2 * FIT_ROWS + 100) / widths["count"])
+    few = sound.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 1) <= min(int(share * 2**63), 2**63 - 1))
+    sample = few.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
+    if sample.empty:  # a few ids that are repeated very often
+        sample = sound.limit(FIT_ROWS).toPandas()
     tree = Tree(np.array(sample["v"].tolist()))
     shared = spark.sparkContext.broadcast(tree)
     leaves = len(tree.leaf_of)
@@ -167,12 +175,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
     def leaf_of(v: pd.Series) -> pd.Series:
         return pd.Series(shared.value.leaves(np.array(v.tolist())) if len(v) else [], dtype="int64")
 
-    index = stage(sound.withColumn("leaf", leaf_of("v")), "index")
+    index = stage(sound.withColumns({"leaf": leaf_of("v"), "row": F.monotonically_increasing_id()}), "index")
     # A leaf's rows are dealt over chunks by hash, as many as its size asks for: equal vectors all share one leaf.
     chunks = stage(index.groupBy("leaf").agg(F.count("*").alias("held"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
     held = dict(chunks.select("leaf", "held").toPandas().itertuples(index=False))  # one number a leaf of the tree
-    dealt = join_counted(index, chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int"))
-    queries = index.where(F.col("id") % every == 0).select("id", "v")
+    dealt = join_counted(index, chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), "chunks").cast("int"))
+    queries = index.where(F.col("id") % every == 0).select("row", "id", "v")
 
     def search(asked: DataFrame, widest: int) -> DataFrame:
         """Best k per (query, chunk) over the first ``widest`` leaves of each query, more if they hold too few vectors."""
@@ -190,22 +198,23 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
 
             return pd.Series([leaves_of(x) for x in v])
 
-        routes = stage(asked.select("id", "v", F.explode(route("v")).alias("leaf")), "routes")
+        routes = stage(asked.select("row", "id", "v", F.explode(route("v")).alias("leaf")), "routes")
         loads = routes.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
         loads = stage(loads.join(chunks, "leaf").select("leaf", "chunks", "blocks"), "loads")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = join_counted(routes, loads, "leaf").withColumn("chunk", each("chunks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        asking = join_counted(routes, loads, "leaf").withColumn("chunk", each("chunks")).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
         asked_of = join_counted(dealt.drop("chunks"), loads.drop("chunks"), "leaf").withColumn("block", each("blocks"))
-        side = lambda df, n: df.select(*[F.col(c).cast("long") for c in ("leaf", "chunk", "block")], F.lit(n).cast("long").alias("side"), "id", "v")
+        side = lambda df, n: df.select(*[F.col(c).cast("long") for c in ("leaf", "chunk", "block")], F.lit(n).cast("long").alias("side"), "row", "id", "v")
         return _chunk_search(side(asked_of, 0).unionByName(side(asking, 1)), k)
 
     def top(found: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    probe = stage(queries.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(CALIBRATE), "probe")
-    truth = top(search(probe, leaves)).select("query_id", "leaf").toPandas()
-    order = {q: {leaf: at for at, leaf in enumerate(tree.visits(np.array(v)))} for q, v in probe.toPandas().itertuples(index=False)}
+    probe = stage(queries.orderBy(F.xxhash64("id", F.lit(2)), "id", "row").limit(CALIBRATE), "probe")
+    truth = top(search(probe, leaves)).select("query", "leaf").toPandas()
+    order = {q: {leaf: at for at, leaf in enumerate(tree.visits(np.array(v)))} for q, v in probe.select("row", "v").toPandas().itertuples(index=False)}
     steps = np.sort([order[q][leaf] for q, leaf in truth.itertuples(index=False)])
     widest = int(steps[int(np.ceil(recall * len(steps))) - 1]) + 1 if len(steps) else leaves
-    return top(search(queries, widest)).select("query_id", "rank", "vec_id", "score", F.lit(widest).alias("leaves"))
+    named = queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return top(search(queries, widest)).join(named, "query").select("query_id", "rank", "vec_id", "score", F.lit(widest).alias("leaves"))
