@@ -20,6 +20,8 @@ BUCKETS = 1 << BITS
 SHARPNESS = 6.0  # margins are mean log odds a trigram, of size 0.1 to 1
 AMBIGUOUS = 0.15  # least gap of the two best losses, in units of the total weight
 UNKNOWN = "und"
+UNIT = 1 << 20  # log odds are whole numbers of its reciprocal, so sums do not depend on where a text is cut
+CUT = 1 << 20  # bytes whose log odds are held at a time
 
 
 def _buckets(data: np.ndarray) -> np.ndarray:
@@ -95,14 +97,27 @@ class CodeClassifier:
         self.languages, self.code = languages, code_matrix(len(languages))
         share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if len(languages) else counts
         bits = self.code.shape[1] if len(languages) else 0
-        self.odds, self.weight = np.zeros((BUCKETS, bits), np.float32), np.ones(bits)
+        self.odds, self.weight = np.zeros((bits, BUCKETS), np.int32), np.ones(bits)
         for b in range(bits if len(languages) > 1 else 0):
             plus, minus = share[self.code[:, b] > 0].mean(axis=0), share[self.code[:, b] < 0].mean(axis=0)
             odds = np.log(plus / minus)
-            self.odds[:, b] = odds
+            self.odds[b] = np.round(odds * UNIT)
             self.weight[b] = ((plus - minus) * odds).sum()  # how far the two sides' mean margins lie apart
         self.weight = self.weight / self.weight.sum() if bits else self.weight
 
+    def margins(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Mean log odds of each text's trigrams (row a text, column a bit), bit by bit over CUT bytes at a time."""
+        total = np.zeros((len(starts) - 1, len(self.odds)), np.int64)
+        for low in range(0, max(len(data) - 2, 0), CUT):
+            bucket = _buckets(data[low : low + CUT + 2])
+            begin = np.clip(starts[:-1] - low, 0, len(bucket))
+            end = np.maximum(begin, np.clip(starts[1:] - 2 - low, 0, len(bucket)))
+            own = np.flatnonzero(end > begin)
+            for b, odds in enumerate(self.odds):
+                upto = np.concatenate([[0], np.cumsum(odds[bucket], dtype=np.int64)])
+                total[own, b] += upto[end[own]] - upto[begin[own]]
+        return total / UNIT / np.maximum(np.diff(starts)[:, None] - 2, 1)
+
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of each codeword for rows of margins."""
         return (np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None, :, :]) * self.weight).sum(axis=2)
@@ -139,16 +154,7 @@ def predict(docs: DataFrame, model: CodeClassifier, text: str = "text") -> DataF
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
         for _, _, data, starts in _slices(batch, 0):
             n = np.diff(starts)
-            margins = np.zeros((len(n), own.odds.shape[1]))
-            if len(data) >= 3:
-                odds = own.odds[np.concatenate([_buckets(data), [0, 0]])]
-                for back in (1, 2):
-                    cut = starts[1:] - back
-                    odds[cut[cut >= 0]] = 0
-                odds[-2:] = 0
-                filled = n > 0
-                margins[filled] = np.add.reduceat(odds, starts[:-1][filled], axis=0) / np.maximum(n[filled, None] - 2, 1)
-            loss = own.losses(margins)
+            loss = own.losses(own.margins(data, starts))
             order = np.sort(loss, axis=1)
             odds_of = np.exp(-SHARPNESS * (loss - loss.min(axis=1, keepdims=True)))
             best = loss.argmin(axis=1)
