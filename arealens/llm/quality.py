@@ -2,8 +2,10 @@
 
 Everything here is DataFrame expressions. The text is read once; the estimates work on a written table
 of a few numbers a document. Minimum-covariance-determinant estimates are found by concentration
-steps: from medians and median absolute deviations on, each step takes the ``share`` of a group's
-documents that lie nearest by Mahalanobis distance and estimates mean and covariance anew from them.
+steps: each step takes the ``share`` of a group's documents that lie nearest by Mahalanobis distance and
+estimates mean and covariance anew from them, until no group's determinant falls any more. Three fixed starts
+run side by side (medians with median absolute deviations, the same with correlations of tanh scores, and the inner half of the first),
+and each group keeps the estimate of least determinant.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Least standard deviation that a feature is taken to have; many groups have no symbols or repeats at all.
 FLOORS = (0.1, 0.07, 0.1, 0.08)
+ALL = "all"  # the group of all documents; those of a language and source are JSON objects
 CHI2_MEDIAN = 3.3567  # of 4 degrees of freedom
 CHI2_CUTOFF = 18.4668  # its quantile of 0.999
 
@@ -121,26 +124,60 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return measured.select("g", *FEATURES, "d2", F.floor(F.log(F.col("d2") + 1e-6) * CLASSES).alias("b"))
 
 
-def mcd_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Per group ``g``: n, centre m*, Cholesky factor l** of the scatter, and scale (median squared distance over that of chi-square)."""
+def _estimates(centre: list[Column], scatter: dict[tuple[int, int], Column]) -> list[Column]:
+    """Columns g, m*, l** and logdet (logarithm of the determinant) of estimates with variances of FLOORS squared at least."""
+    floored = {(i, j): F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c for (i, j), c in scatter.items()}
+    root = _root(floored)
+    logdet = sum((2 * F.log(root[f"l{i}{i}"]) for i in range(len(FEATURES))), F.lit(0.0))
+    return [F.col("g"), *[m.alias(f"m{i}") for i, m in enumerate(centre)], *[c.alias(k) for k, c in root.items()], logdet.alias("logdet")]
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """Estimates from the ``share`` of each group's rows that lie nearest to the given ones."""
     p = range(len(FEATURES))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    centre = _medians(rows, {f"m{i}": F.col(x) for i, x in enumerate(FEATURES)})
-    centre = stage(centre, "centre")
-    spread = _medians(rows.join(centre, "g"), {f"s{i}": F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(FEATURES)})
-    first = {(i, j): F.pow(F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS[i])), 2) if i == j else F.lit(0.0) for i in p for j in range(i + 1)}
-    estimates = stage(centre.join(spread, "g").select("g", *[f"m{i}" for i in p], *[c.alias(k) for k, c in _root(first).items()]), "mcd")
+    measured = _with_distance(rows, estimates)
+    near = measured.join(_quantile_bucket(measured, "b", share), "g").where("b <= b_q")
+    sums = near.groupBy("g").agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    return sums.select(*_estimates([F.col(f"a{i}") for i in p], {(i, j): F.col(f"c{i}{j}") for i in p for j in range(i + 1)}))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates of all starts; ``g`` becomes a struct of group and start."""
+    p = range(len(FEATURES))
+    centre = stage(_medians(rows, {f"a{i}": F.col(x) for i, x in enumerate(FEATURES)}), "centre")
+    spread = _medians(rows.join(centre, "g"), {f"s{i}": F.abs(F.col(x) - F.col(f"a{i}")) for i, x in enumerate(FEATURES)})
+    robust = stage(centre.join(spread, "g").select("g", *[f"a{i}" for i in p], *[F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS[i])).alias(f"s{i}") for i in p]), "robust")
+    middle = [F.col(f"a{i}") for i in p]
+    plain = stage(robust.select(*_estimates(middle, {(i, j): F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0) for i in p for j in range(i + 1)})), "mcd_start")
+    score = [F.tanh((F.col(x) - F.col(f"a{i}")) / F.col(f"s{i}")) for i, x in enumerate(FEATURES)]
+    bent = rows.join(robust, "g").select("g", *[c.alias(f"t{i}") for i, c in enumerate(score)]).groupBy("g")
+    safe = lambda i, j: F.coalesce(F.try_divide(F.covar_pop(f"t{i}", f"t{j}"), F.stddev_pop(f"t{i}") * F.stddev_pop(f"t{j}")), F.lit(0.0))
+    bent = bent.agg(*[safe(i, j).alias(f"r{i}{j}") for i in p for j in range(i)]).join(robust, "g")
+    tilted = bent.select(*_estimates(middle, {(i, j): F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(1.0) if i == j else F.col(f"r{i}{j}")) for i in p for j in range(i + 1)}))
+    named = [df.withColumn("g", F.struct(F.col("g").alias("group"), F.lit(k).alias("start"))) for k, df in enumerate((plain, tilted, _concentrated(rows, plain, 0.5)))]
+    return stage(named[0].unionByName(named[1]).unionByName(named[2]), "mcd")
+
+
+def mcd_estimates(rows: DataFrame, share: float = 0.75, steps: int = 20) -> DataFrame:
+    """Per group ``g``: n, centre m*, Cholesky factor l** of the scatter, logdet, and scale (median squared distance over that of chi-square).
+
+    Steps end when no determinant falls by a thousandth, after ``steps`` at the latest; one number a step reaches the driver.
+    """
+    estimates, last = _starts(rows), None
+    each = rows.select(F.explode(F.array(*[F.struct(F.col("g").alias("group"), F.lit(k).alias("start")) for k in range(3)])).alias("g"), *FEATURES)
     for _ in range(steps):
-        measured = _with_distance(rows, estimates)
-        near = measured.join(_quantile_bucket(measured, "b", share), "g").where("b <= b_q")
-        sums = near.groupBy("g").agg(
-            *[F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-        )
-        scatter = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"c{i}{j}") for i in p for j in range(i + 1)}
-        estimates = stage(sums.select("g", *[f"m{i}" for i in p], *[c.alias(k) for k, c in _root(scatter).items()]), "mcd")
-    middle = _quantile_bucket(_with_distance(rows, estimates), "b", 0.5)
+        estimates = stage(_concentrated(each, estimates, share), "mcd")
+        if last is not None:
+            fallen = estimates.join(last, "g").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+            if fallen is None or fallen < 1e-3:
+                break
+        last = estimates.select("g", F.col("logdet").alias("before"))
+    best = estimates.groupBy("g.group").agg(F.min_by(F.struct("*"), F.struct("logdet", "g.start")).alias("e"))
+    best = stage(best.select(F.col("group").alias("g"), *[F.col(f"e.{c}").alias(c) for c in estimates.columns if c != "g"]), "mcd_best")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    middle = _quantile_bucket(_with_distance(rows, best), "b", 0.5)
     scale = F.greatest(F.exp((F.col("b_q") + 0.5) / CLASSES) / CHI2_MEDIAN, F.lit(1.0))
-    return stage(estimates.join(middle, "g").join(sizes, "g").select("*", scale.alias("scale")).drop("b_q"), "mcd")
+    return stage(best.join(middle, "g").join(sizes, "g").select("*", scale.alias("scale")).drop("b_q"), "mcd")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CHI2_CUTOFF, min_group: int = 60, key: str = "doc_id") -> DataFrame:
@@ -149,8 +186,8 @@ def quality_rules(docs: DataFrame, cutoff: float = CHI2_CUTOFF, min_group: int =
     Returns ``key``, text_hash, the statistics, base_failed, distance (scaled squared Mahalanobis distance, null if not measured)
     and kept. base_failed: fewer than 50 words, or over half of the words in repeated three-word windows;
     such rows are not kept and take no part in the estimates. The others are measured against their
-    (lang, source) group, against their language where the group has under ``min_group`` rows, and are
-    kept unmeasured where that has too few as well. Rows beyond ``cutoff`` (by default what chi-square of 4 degrees of freedom exceeds with probability 0.001) are not kept.
+    (lang, source) group, against their language where the group has under ``min_group`` rows, and against
+    all documents where the language has too few as well, so every such row is measured. Rows beyond ``cutoff`` (by default what chi-square of 4 degrees of freedom exceeds with probability 0.001) are not kept.
 
     Null lang or source is a value of its own; null or empty text has zero counts and fails the base
     rules; repeated rows are judged alike; an empty table gives no rows. Other columns of ``docs`` are not read.
@@ -170,12 +207,13 @@ def quality_rules(docs: DataFrame, cutoff: float = CHI2_CUTOFF, min_group: int =
         counted.select("_key", F.xxhash64("text").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.to_json(own).alias("own"), F.to_json(wide).alias("wide"), *[v.alias(x) for v, x in zip(values, FEATURES, strict=True)]),
         "statistics",
     )
-    rows = table.where("not base_failed").select(F.explode(F.array("own", "wide")).alias("g"), *FEATURES)
-    estimates = mcd_estimates(rows).where(F.col("n") >= min_group).select("g", F.struct("*").alias("e"))
+    rows = table.where("not base_failed").select(F.explode(F.array("own", "wide", F.lit(ALL))).alias("g"), *FEATURES)
+    estimates = mcd_estimates(rows).where((F.col("n") >= min_group) | (F.col("g") == ALL)).select("g", F.struct("*").alias("e"))
     judged = table.join(estimates.select(F.col("g").alias("own"), F.col("e").alias("e_own")), "own", "left").join(
         estimates.select(F.col("g").alias("wide"), F.col("e").alias("e_wide")), "wide", "left"
     )
-    judged = judged.withColumn("e", F.coalesce("e_own", "e_wide")).select("*", *[F.col(f"e.{c}").alias(c) for c in estimates.select("e.*").columns if c not in ("g", "n")])
+    whole = estimates.where(F.col("g") == ALL).select(F.col("e").alias("e_all"))  # one row, none if no row passes the base rules
+    judged = judged.join(F.broadcast(whole), F.lit(True), "left").withColumn("e", F.coalesce("e_own", "e_wide", "e_all")).select("*", *[F.col(f"e.{c}").alias(c) for c in estimates.select("e.*").columns if c not in ("g", "n")])
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     return judged.withColumn("distance", distance).select(
         F.col("_key").alias(key), "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
