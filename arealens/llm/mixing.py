@@ -67,8 +67,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size (long), target (double), draws and taken (long).
 
-    draws holds, for each pass and block that takes part of the document, the pass, block and shard and
-    the words from begin to before stop; taken is their sum. A source's blocks have a thousandth of its words, 1024 at most, so its
+    draws holds, for each pass and block that takes part of the document, the pass, block and shard,
+    the words from begin to before stop, and its order in the shard by place and at; taken is their sum. A source's blocks have a thousandth of its words, 1024 at most, so its
     taken words differ from the target by about that. Null and empty texts have size 0 and no draws; a
     null source is a source of its own; repeated rows are documents of their own; an empty table gives no rows.
     Other columns pass through, columns of the new names are replaced. Only sums by source reach the driver.
@@ -108,18 +108,20 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "do
 
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["begin"])
     drawn = placed.withColumn("draws", draws(F.struct("_i", "_start", "size", "_width", "_blocks", "_quota", "_key")))
+    # The last shuffle: a part's place in its shard is a hash of its block and pass; the parts of one block follow their words in the source.
+    place = lambda d: F.xxhash64(F.lit(seed), F.col(source), d["block"], d["pass"])
+    drawn = drawn.withColumn("draws", F.transform("draws", lambda d: d.withField("place", place(d)).withField("at", d["begin"] + F.col("_start"))))
     return drawn.withColumn("taken", taken).select(*docs.columns, "source_size", "target", "draws", "taken")
 
 
-def mixed_blocks(mixed: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
-    """The drawn parts of a mix as rows in shard order: shard, place (order within the shard), pass, begin, stop and ``text`` (words of the part).
+def mixed_blocks(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The drawn parts of a mix as rows in shard order: shard, place and at (order within the shard), pass, begin, stop and ``text`` (words of the part).
 
     Rows are dealt out by shard and range of place, so a large shard takes several tasks.
     """
     parts = mixed.select("*", F.explode("draws").alias("_d")).drop("draws").select("*", "_d.*").drop("_d")
-    parts = parts.withColumn("place", F.xxhash64(F.lit(seed), "source", "block", "pass"))
     parts = parts.withColumn(text, F.concat_ws(" ", F.slice(words(F.col(text)), (F.col("begin") + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int"))))
-    return parts.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "begin")
+    return parts.repartitionByRange("shard", "place", "at").sortWithinPartitions("shard", "place", "at")
 
 
 def mixed_documents(mixed: DataFrame, text: str = "text") -> DataFrame:

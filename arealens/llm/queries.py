@@ -54,7 +54,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arealens.llm.mixing import mix_sources
 
     mixed = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    first = F.array_min(F.transform("draws", lambda d: F.struct(d["shard"], d["place"], d["at"])))  # where the first part stands in the mix
+    mixed = mixed.withColumn("_first", first)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("n_parts"), *[F.col(f"_first.{c}").alias(f"first_{c}") for c in ("shard", "place", "at")])
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
