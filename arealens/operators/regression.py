@@ -36,14 +36,33 @@ def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
     return np.concatenate([[mean[-1] - beta @ mean[:-1]], beta])
 
 
-def loco_ridge(df: DataFrame, columns: Sequence[str], target: str, by: str, alpha: float = 0.0) -> DataFrame:
-    """``df`` with y_pred: each group scored by the fit on all others, whose sums are the total less its own."""
+def inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(predictor, vif): the diagonal of the inverse correlation matrix, null where it is singular; medians stand for nulls."""
+    middle = df.agg(*[F.median(c).alias(c) for c in columns])
+    filled = df.crossJoin(F.broadcast(middle.toDF(*[f"_m_{c}" for c in columns]))).select(F.lit(0).alias("_g"), *[F.coalesce(F.col(c).cast("double"), f"_m_{c}").alias(c) for c in columns])  # one row
+    gram = grams(filled, columns[:-1], columns[-1], "_g").get(0)
+    if gram is None:
+        return df.sparkSession.createDataFrame([], "predictor string, vif double")
+    mean = gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / gram[0, 0] - np.outer(mean, mean)
+    sd = np.sqrt(np.diag(cov))
+    full = bool((sd > 0).all()) and np.linalg.matrix_rank(cov / np.outer(sd, sd)) == len(columns)
+    vif = np.diag(np.linalg.inv(cov / np.outer(sd, sd))).tolist() if full else [None] * len(columns)
+    return df.sparkSession.createDataFrame(list(zip(columns, vif, strict=True)), "predictor string, vif double")
+
+
+def loco_coefficients(df: DataFrame, columns: Sequence[str], target: str, by: str, alpha: float = 0.0) -> DataFrame:
+    """(_g, _b0, _b1, ...): for each group the fit on all others, whose sums are the total less its own; one row a group."""
     by_group = grams(df, columns, target, by)
     total = sum(by_group.values(), np.zeros((len(columns) + 2,) * 2))
     fits = [(g, *map(float, ridge(total - m, alpha))) for g, m in by_group.items() if (total - m)[0, 0] > 0]
-    spark = df.sparkSession
     kind = df.schema[by].dataType.simpleString()
-    coefs = spark.createDataFrame(fits, f"_g {kind}, _b0 double" + "".join(f", _b{i + 1} double" for i in range(len(columns))))
+    return df.sparkSession.createDataFrame(fits, f"_g {kind}, _b0 double" + "".join(f", _b{i + 1} double" for i in range(len(columns))))
+
+
+def loco_ridge(df: DataFrame, columns: Sequence[str], target: str, by: str, alpha: float = 0.0) -> DataFrame:
+    """``df`` with y_pred: each group scored by the fit on all others."""
+    coefs = loco_coefficients(df, columns, target, by, alpha)
     score = F.col("_b0")
     for i, c in enumerate(columns):
         score = score + F.col(f"_b{i + 1}") * F.col(c)

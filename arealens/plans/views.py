@@ -29,6 +29,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(text: str) -> str:
     """DuckDB SQL with the views that ``text`` names put before it."""
     used = [f"{k} AS ({v})" for k, v in VIEWS.items() if k in text]
-    if text.startswith("WITH "):
+    if used and text.startswith("WITH "):
         return f"WITH {', '.join(used)}, {text[5:]}"
     return f"WITH {', '.join(used)} {text}" if used else text
