@@ -46,19 +46,22 @@ def nearest(points: DataFrame, targets: DataFrame, cell: float, rounds: int = 20
     """(id, target, dist) of each point's nearest target, ties to the lesser id; infinity and null if there are no targets.
 
     The search radius doubles each round for the points that found none, so sparse regions cost a few rounds, not a cross join.
+    Points without a coordinate, and those with no target within the last radius, have a null target at infinity.
     """
-    rest, found, radius = points.select("id", "x", "y"), None, cell
+    alone = lambda df: df.select("id", F.lit(None).cast(targets.schema["id"].dataType).alias("target"), F.lit(float("inf")).alias("dist"))
+    placed, radius = F.col("x").isNotNull() & F.col("y").isNotNull(), cell
+    rest, found, targets = points.select("id", "x", "y").where(placed), alone(points.where(~placed)), targets.where(placed)
     if not targets.take(1):
-        return points.select("id", F.lit(None).cast("long").alias("target"), F.lit(float("inf")).alias("dist"))
+        return alone(points)
     for _ in range(rounds):
         best = pairs_within(rest, targets, radius).groupBy("src").agg(F.min(F.struct("dist", "dst")).alias("t")).select(F.col("src").alias("id"), F.col("t.dst").alias("target"), F.col("t.dist").alias("dist"))
         best = stage(best, "nearest")
-        found = best if found is None else found.unionByName(best)
+        found = found.unionByName(best)
         rest = stage(rest.join(best, "id", "left_anti"), "unplaced")
         if not rest.take(1):
-            break
+            return found
         radius *= 2
-    return found
+    return found.unionByName(alone(rest))
 
 
 def mutual_nearest(points: DataFrame, group: str, distance: float) -> DataFrame:
