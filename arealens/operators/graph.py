@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealens.scratch import stage
+from arealens.scratch import discard, stage
 
 
 def _pull(edges: DataFrame) -> DataFrame:
@@ -37,14 +37,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     reachable. Loops, repeated and reversed edges do not matter; rows with a null end are ignored; no
     edges give no rows. Work per round is linear in the edges, also at a node with very many of them,
     since neighbours are never gathered in one place. Rounds grow with the logarithm of a component's
-    diameter; each is written to the shared folder, and ``RuntimeError`` is raised after ``max_rounds``.
+    diameter; each is written to the shared folder, where it replaces the one before, and ``RuntimeError`` is raised after ``max_rounds``.
     """
     edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
     nodes = stage(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct(), "nodes")
     state = stage(edges.where("src <> dst").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        state = stage(_small_star(_large_star(state)), "edges")
+        last, state = state, stage(_small_star(_large_star(state)), "edges")
+        discard(last)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if now == before:
             break

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 A written table cuts lineage and survives the loss of any executor. The folder is the one named by
-``spark.checkpoint.dir``; only where that setting is absent (tests, a laptop) is a local one made.
+``spark.checkpoint.dir``; only where that setting is absent and all runs in one process (tests, a laptop) is a local one made.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a new local one if the session names none."""
+    """The cluster's shared folder; a new local one if the session names none and runs in one process, else ``RuntimeError``."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="arealens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
