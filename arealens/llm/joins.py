@@ -27,3 +27,21 @@ def join_counted(large: DataFrame, small: DataFrame, on: str | list[str] | Colum
     """Join with ``small`` (a table that is cheap to read twice) broadcast if it has at most BROADCAST_BYTES, else shuffled."""
     held = small.agg(F.sum(row_bytes(small))).first()[0] or 0
     return large.join(F.broadcast(small) if held <= BROADCAST_BYTES else small, on, how)
+
+
+#: Keys that are joined by broadcast because each holds at least this share of all rows; there can be no more than 1 / share of them.
+HEAVY = 1 / 50_000
+
+
+def join_heavy_apart(large: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """``large`` left-joined with ``small``, which has one row a key and in ``weight`` how many rows of ``large`` have it; without that column.
+
+    Keys with a share of HEAVY or more of all rows are broadcast: their number is bounded by that share, so no task gathers a frequent key's rows.
+    The other keys are joined by ``join_counted``. Both tables are read more than once.
+    """
+    least = large.count() * HEAVY
+    if small.where(F.col(weight) < least).isEmpty():
+        return large.join(F.broadcast(small.drop(weight)), key, "left")
+    heavy = small.where(F.col(weight) >= least).drop(weight)
+    rest = join_counted(large.join(F.broadcast(heavy.select(key)), key, "left_anti"), small.where(F.col(weight) < least).drop(weight), key, "left")
+    return large.join(F.broadcast(heavy), key).unionByName(rest)

@@ -103,6 +103,13 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("record_id", "kind", "canonical", "status", "refers_to", F.array_join(shown, ";").alias("headers"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.simhash import simhash_components
+
+    found = simhash_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_simhash": op11_simhash,
 }
 
 ORACLES: dict[str, str] = {}
