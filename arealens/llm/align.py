@@ -5,8 +5,8 @@ spans of B's pieces are coarse cuts: a token whose span holds just its bytes end
 being parts of a multibyte character or fallback bytes, have one span in common; within it they are cut by their decoded bytes.
 Places where tokens of both end cut the text into groups, and the two tokens that end there are linked.
 
-No token of either crosses from a word into the white space behind it, so texts fall into units that begin with white space and are encoded
-apart; a worker looks up those it has met. Counts of linked id pairs are sums over all documents. Pairs that hold at least one in HEAVY_PAIRS
+No token of either crosses from a word into the white space behind it, nor (which is checked against the pieces) from a letter into the sign
+behind it, so texts fall into units that are encoded apart; a worker looks up those it has met. Counts of linked id pairs are sums over all documents. Pairs that hold at least one in HEAVY_PAIRS
 of all links are broadcast, which bounds their number; documents look up the others in a shuffled join.
 """
 
@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,13 @@ from arealens.llm.text import list_slices, text_slices
 from arealens.scratch import discard, stage
 
 HEAVY_PAIRS = 1_000_000
-SLICE_BYTES = 2_000_000  # of texts that are split at once
-LEARNED_AT_ONCE = 20_000
+SLICE_BYTES = 500_000  # of texts that are split at once
+LEARNED_AT_ONCE = 5_000
 MARK = "▁"
 # Fixed: Unicode's white space, and four controls that some pattern libraries count with it.
 SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTROLS = "\x1c\x1d\x1e\x1f"
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # letters between which and ASCII signs both kinds of tokens may be cut
 REMEMBERED = 64  # characters of the longest unit that is looked up
 
 
@@ -63,9 +66,9 @@ def refined_ends(spans: list[tuple[int, int]], tokens: list[bytes], whole: bytes
 
 
 class Aligner:
-    """Units met so far, with their aligned tokens; ``unit_limit`` bounds how many are kept from one slice of texts to the next."""
+    """Units met so far, with their aligned tokens. Beyond ``unit_limit`` units those met more than once are kept, up to half as many."""
 
-    def __init__(self, byte_file: str, piece_file: str, unit_limit: int = 250_000) -> None:
+    def __init__(self, byte_file: str, piece_file: str, unit_limit: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -73,85 +76,138 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
-        self.a_bytes = {i: byte_level_bytes(p) if all(c in _BYTE_OF for c in p) else p.encode() for p, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for p, i in vocabulary.items():
+            self.a_bytes[i] = byte_level_bytes(p) if all(c in _BYTE_OF for c in p) else p.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p) for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds a space inside; its texts don't fall into units")
-        self.mark = self.b.piece_to_id(MARK)
+        self.mark, self.newline = self.b.piece_to_id(MARK), self.b.piece_to_id("<0x0A>")
         odd = CONTROLS + "".join(c for c in SPACES if any(c in p[1:] for p in pieces))
         cut = "".join(c for c in SPACES if c not in odd)
-        blank, cut, odd = (re.escape(x) for x in (SPACES + CONTROLS, cut, odd))
-        #: White space that nothing crosses into, then words; white space that a piece may hold inside starts no unit.
-        self.units = re.compile(f"[{cut}][{blank}]*[^{blank}]*(?:[{odd}][{blank}]*[^{blank}]*)*")
+        after_letter = {p[k] for p in pieces for k in range(1, len(p)) if re.match(LETTER, p[k - 1])}
+        signs = "".join(c for c in string.punctuation if c not in after_letter)
+        blank, cut, odd, signs = (re.escape(x) for x in (SPACES + CONTROLS, cut, odd, signs))
+        rest = f"[^{blank}]*(?:[{odd}][{blank}]*[^{blank}]*)*"  # up to white space that nothing crosses into
+        self.units = re.compile(f"[{cut}][{blank}]*{LETTER}+(?=[{signs}])|[{cut}][{blank}]*{rest}|[{signs}]{rest}")
         self.unit_limit = unit_limit
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []  # groups of a unit, written out
         self.numbers = np.zeros((0, 4), np.int32)  # tokens of A, tokens of B, groups, 1 if the tokens' bytes are not the unit's
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)  # linked ids of all units, one unit after the other: a << 32 | b
+        self.met = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Drop units met once, and the least met beyond half the limit."""
+        most = np.sort(self.met)[::-1]
+        least = max(2, int(most[self.unit_limit // 2]) + 1 if len(most) > self.unit_limit // 2 else 2)
+        keep = np.flatnonzero(self.met >= least)
+        new = np.full(len(self.met), -1)
+        new[keep] = np.arange(len(keep))
+        sizes = np.diff(self.starts)[keep]
+        self.pairs = self.pairs[_runs(self.starts[keep], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.texts, self.numbers, self.met = [self.texts[k] for k in keep.tolist()], self.numbers[keep], np.zeros(len(keep), np.int64)
+        places = new.tolist()
+        self.known = {u: places[k] for u, k in self.known.items() if places[k] >= 0}
+
+    def pieces(self, units: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
+        """Ids and byte spans of B's pieces in each unit. The model puts a space in front of what it encodes; a unit's own first space stands for
+        it, and other units are encoded behind what nothing merges with, whose pieces are taken off."""
+        shown = [u[1:] if u[0] == " " else u if u[0] in SPACES else "\n" + u for u in units]
+        found = self.b.encode(shown, return_type="proto", num_threads=1)
+        ids, spans = [], []
+        for u, x in zip(units, found, strict=True):
+            parts = x.pieces
+            own = [p.id for p in parts]
+            if u == " ":  # the model has no pieces for an empty text
+                own, at = [self.mark], [(0, 1)]
+            elif u[0] == " ":
+                at = [(p.begin + 1, p.end + 1) for p in parts]
+                at[0] = (0, at[0][1])
+            else:
+                at = [(p.begin, p.end) for p in parts]
+                front = [self.mark] if u[0] in SPACES else [self.mark, self.newline]
+                if own[: len(front)] != front:
+                    raise ValueError(f"a piece crosses into a unit's front: {u!r}")
+                own, at = own[len(front) :], [(low + 1 - len(front), high + 1 - len(front)) for low, high in at[len(front) :]]
+            ids.append(own)
+            spans.append(at)
+        return ids, spans
+
+    def ends(self, units: list[bytes], ids: list[list[int]], spans: list[list[tuple[int, int]]], tokens: list[bytes], sizes: np.ndarray, offsets: list[list[int] | None]) -> tuple[np.ndarray, ...]:
+        """(number of tokens of each unit, ids, byte ends, whether each unit's tokens make it up), all tokens in a row.
+
+        Units of which every span holds as many bytes as its token are cut by their spans alone; others go through ``refined_ends``.
+        """
+        number = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, number.sum())
+        low, high = (np.fromiter((x[k] for own in spans for x in own), np.int64, number.sum()) for k in (0, 1))
+        row, good = np.repeat(np.arange(len(ids)), number), np.ones(len(ids), bool)
+        first = np.cumsum(number) - number
+        before = np.concatenate([[0], high[:-1]])
+        before[first[number > 0]] = 0
+        plain = np.array([o is None for o in offsets])
+        plain &= np.bincount(row, (high - low != sizes[flat]) | (low != before), len(ids)) == 0
+        for k in np.flatnonzero(~plain).tolist():
+            found = refined_ends(spans[k], [tokens[i] for i in ids[k]], units[k], offsets[k])
+            good[k] = found is not None
+            high[first[k] : first[k] + number[k]] = found or 0
+        whole = b"".join([u for u, p in zip(units, plain.tolist(), strict=True) if p])
+        if b"".join([tokens[i] for i in flat[plain[row]].tolist()]) != whole:
+            for k in np.flatnonzero(plain).tolist():
+                good[k] = b"".join([tokens[i] for i in ids[k]]) == units[k]
+        return number, flat, high, good
 
     def learn(self, units: list[str]) -> None:
         """Encode and align units, and put them behind those known."""
-        a_found = self.a.encode_batch(units, add_special_tokens=False)
-        b_found = self.b.encode([u[1:] if u[0] == " " else u for u in units], return_type="proto", num_threads=1)
-        numbers, sizes, pairs = np.zeros((len(units), 4), np.int32), np.zeros(len(units), np.int64), []
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for k, (unit, a, b) in enumerate(zip(units, a_found, b_found, strict=True)):
-            whole, at = unit.encode(), None
-            if len(whole) != len(unit):
-                at = [0]
-                for c in unit:
-                    at.append(at[-1] + len(c.encode()))
-            a_ids, pieces = a.ids, b.pieces
-            if unit == " ":  # the model has no pieces for an empty text
-                b_ids, spans = [self.mark], [(0, 1)]
-            elif unit[0] == " ":  # the model puts this space in front by itself
-                b_ids, spans = [p.id for p in pieces], [(p.begin + 1, p.end + 1) for p in pieces]
-                spans[0] = (0, spans[0][1])
-            else:
-                if pieces[0].piece != MARK:
-                    raise ValueError(f"a piece crosses into white space: {pieces[0].piece!r}")
-                b_ids, spans = [p.id for p in pieces[1:]], [(p.begin, p.end) for p in pieces[1:]]
-            a_ends = refined_ends(a.offsets, [a_bytes[i] for i in a_ids], whole, at)
-            b_ends = refined_ends(spans, [b_bytes[i] for i in b_ids], whole, None)
-            if a_ends is None or b_ends is None:
-                numbers[k, 3] = 1
-                self.texts.append("")
-                continue
-            groups, i, last, low, place = [], 0, 0, 0, {e: n for n, e in enumerate(a_ends)}
-            for j, end in enumerate(b_ends):
-                if (i := place.get(end, -1)) >= 0:
-                    groups.append(",".join(map(str, a_ids[last : i + 1])) + "|" + ",".join(map(str, b_ids[low : j + 1])))
-                    pairs.append(a_ids[i] << 32 | b_ids[j])
-                    last, low = i + 1, j + 1
-            numbers[k, :3] = len(a_ids), len(b_ids), len(groups)
-            sizes[k] = len(groups)
-            self.texts.append(";".join(groups))
+        raw = [u.encode() for u in units]
+        offsets: list[list[int] | None] = [None if len(w) == len(u) else [0, *accumulate(len(c.encode()) for c in u)] for u, w in zip(units, raw, strict=True)]
+        found = self.a.encode_batch(units, add_special_tokens=False)
+        na, a, a_ends, good = self.ends(raw, [x.ids for x in found], [x.offsets for x in found], self.a_bytes, self.a_sizes, offsets)
+        nb, b, b_ends, also = self.ends(raw, *self.pieces(units), self.b_bytes, self.b_sizes, [None] * len(units))
+        good &= also
+        base = np.concatenate([[0], np.cumsum([len(w) + 1 for w in raw])])
+        ua, ub = np.repeat(np.arange(len(units)), na), np.repeat(np.arange(len(units)), nb)
+        at_a, at_b = np.flatnonzero(good[ua]), np.flatnonzero(good[ub])
+        _, ia, ib = np.intersect1d(base[ua[at_a]] + a_ends[at_a], base[ub[at_b]] + b_ends[at_b], assume_unique=True, return_indices=True)
+        ia, ib = at_a[ia], at_b[ib]  # the last tokens of each group
+        groups = np.bincount(ua[ia], minlength=len(units))
+        lasts = np.cumsum(groups)
+        opens = np.zeros(len(ia), bool)
+        opens[(lasts - groups)[groups > 0]] = True
+        first_a, first_b = (np.where(opens, (np.cumsum(n) - n)[u[i]], np.concatenate([[0], i[:-1] + 1])) for n, u, i in ((na, ua, ia), (nb, ub, ib)))
+        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        shown = [
+            f"{name_a[i]}|{name_b[j]}" if i == p and j == q else ",".join(name_a[p : i + 1]) + "|" + ",".join(name_b[q : j + 1])
+            for p, i, q, j in zip(first_a.tolist(), ia.tolist(), first_b.tolist(), ib.tolist(), strict=True)
+        ]
+        self.texts += [";".join(shown[low:high]) for low, high in zip((lasts - groups).tolist(), lasts.tolist(), strict=True)]
+        numbers = np.stack([np.where(good, na, 0), np.where(good, nb, 0), groups, ~good], axis=1).astype(np.int32)
         self.numbers = np.concatenate([self.numbers, numbers])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + lasts])
+        self.pairs = np.concatenate([self.pairs, a[ia] << 32 | b[ib]])
+        self.met = np.concatenate([self.met, np.zeros(len(units), np.int64)])
 
     def slice(self, texts: list[str | None]) -> pa.RecordBatch:
         """The columns of MEASURES for each text."""
         if len(self.texts) > self.unit_limit:
-            self.clear()
+            self.forget()
         split = [self.units.findall(" " + t) if t else [] for t in texts]
-        known, at, new = self.known, len(self.texts), []
-        for units in split:
-            for u in units:
-                if u not in known:
-                    known[u] = at + len(new)
-                    new.append(u)
+        flat = list(chain.from_iterable(split))
+        known, at, new = self.known, len(self.texts), list(set(flat) - self.known.keys())
+        known.update(zip(new, range(at, at + len(new)), strict=True))
         for k in range(0, len(new), LEARNED_AT_ONCE):
             self.learn(new[k : k + LEARNED_AT_ONCE])
-        where = np.fromiter((known[u] for units in split for u in units), np.int64)
+        where = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        self.met += np.bincount(where, minlength=len(self.met))
         for u in new:
             if len(u) > REMEMBERED:
-                del known[u]
+                self.met[known.pop(u)] = 0
         sizes = [len(u) for u in split]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.numbers[where], axis=0, dtype=np.int64)])
@@ -160,8 +216,7 @@ class Aligner:
         count[~good] = 0
         row = np.repeat(np.arange(len(texts)), sizes)
         linked = np.where(good[row], self.starts[where + 1] - self.starts[where], 0)
-        flat = np.repeat(self.starts[where] - (np.cumsum(linked) - linked), linked) + np.arange(linked.sum())
-        distinct, named = np.unique(self.pairs[flat], return_inverse=True)
+        distinct, named = np.unique(self.pairs[_runs(self.starts[where], linked)], return_inverse=True)
         keys, times = np.unique(np.repeat(row, linked) << 40 | named, return_counts=True)
         written, numbers = self.texts, where.tolist()
         shown = [";".join([written[i] for i in numbers[low:high]]) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -169,6 +224,11 @@ class Aligner:
         return _batch([count[:, 0], count[:, 1], count[:, 2], count[:, 2], digests], keys >> 40, distinct[keys & (1 << 40) - 1], times)
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of ``sizes`` that begin at ``starts``, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 MEASURES = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "pairs": "array<long>", "times": "array<long>"}
 
 

@@ -50,7 +50,7 @@ def brute(rows):
 
 def texts(seed):
     rng = random.Random(seed)
-    odd = ["é", "日本語", "🎉🎉", "𝔘", "\r\n", "\n\n", "\n", "\t", "  ", "   ", "<|endoftext|>", "</s>", "<0x41>", "'s", "it's", "1234567", "　", "\xa0", "\x1c", "\x85", "é", "İ", "㍿", "});\r\n", "ﬁ", "​", "﻿", "word", "Hello", "."]
+    odd = ["é", "日本語", "🎉🎉", "𝔘", "\r\n", "\n\n", "\n", "\t", "  ", "   ", "<|endoftext|>", "</s>", "<0x41>", "'s", "it's", "1234567", "　", "\xa0", "\x1c", "\x85", "é", "İ", "㍿", "});\r\n", "ﬁ", "​", "﻿", "word", "Hello", ".", "don't,", "x.'re", "a,###", "k>", "Ünï-co;de", "e\u0301,", "×.", "½.", "_a", "9.5%"]
     return ["".join(rng.choice([rng.choice(odd), " " + rng.choice(odd), " the", " quick"]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
 
 
@@ -74,6 +74,10 @@ def test_few_units_kept_and_light_pairs_looked_up(spark, monkeypatch):
     own = align.Aligner(*map(path, FILES), unit_limit=5)
     first = [own.slice([t]).to_pylist() for t in texts(3)]
     assert first == [own.slice([t]).to_pylist() for t in texts(3)] and len(own.texts) < 400
+    own.unit_limit = 10**6
+    assert first == [own.slice([t]).to_pylist() for t in texts(3)]
+    own.forget()
+    assert all(own.met == 0) and first == [own.slice([t]).to_pylist() for t in texts(3)]
 
 
 def test_spans_that_hold_other_bytes_are_refined():
