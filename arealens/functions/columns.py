@@ -50,14 +50,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def avg_rank_pct(value: str, *by: str) -> Column:
-    """Mean rank of ties over the group's number of values; null values have none."""
-    own = Window.partitionBy(*by)
-    rank = F.rank().over(own.orderBy(F.col(value).asc_nulls_last()))
-    peers = F.count(value).over(Window.partitionBy(*by, value))
-    return F.when(F.col(value).isNotNull(), (rank + (peers - 1) / 2) / F.count(value).over(own))
-
-
 def z_score(value: str, *by: str) -> Column:
     """Distance from the group's mean in sample standard deviations; null where they are 0 or null."""
     own = Window.partitionBy(*by)

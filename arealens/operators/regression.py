@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arealens.operators.ranks import quantiles
+
 
 def grams(df: DataFrame, columns: Sequence[str], target: str, by: str) -> dict[object, np.ndarray]:
     """Per group the matrix of sums of products of (1, columns, target), over rows where none is null. The driver gets p x p numbers a group."""
@@ -38,7 +40,8 @@ def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
 
 def inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(predictor, vif): the diagonal of the inverse correlation matrix, null where it is singular; medians stand for nulls."""
-    middle = df.agg(*[F.median(c).alias(c) for c in columns])
+    found = {row["column"]: row["q"][0] for row in quantiles(df, [], columns, [0.5]).collect()}  # one row a column
+    middle = df.sparkSession.range(1).select(*[F.lit(found.get(c)).cast("double").alias(c) for c in columns])
     filled = df.crossJoin(F.broadcast(middle.toDF(*[f"_m_{c}" for c in columns]))).select(F.lit(0).alias("_g"), *[F.coalesce(F.col(c).cast("double"), f"_m_{c}").alias(c) for c in columns])  # one row
     gram = grams(filled, columns[:-1], columns[-1], "_g").get(0)
     if gram is None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arealens.operators.ranks import quantiles
+
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation over the pairs without nulls; null where a side is constant."""
@@ -22,14 +24,15 @@ def skew(value: Column) -> Column:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column n, missing, mean, sample deviation, quartiles and skewness, from one pass."""
+    """Per column n, missing, mean, sample deviation, quartiles and skewness; sums from one pass, quartiles from counted values."""
 
     def cell(c: str) -> Column:
         v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), skew(v).alias("skew"))
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), skew(v).alias("skew"))
 
-    return df.agg(F.array(*map(cell, columns)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    sums = df.agg(F.array(*map(cell, columns)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    middle = quantiles(df, [], columns, [0.25, 0.5, 0.75]).select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    return sums.join(F.broadcast(middle), "column", "left")  # one row a column
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

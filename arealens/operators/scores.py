@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealens.functions import columns as C
+from arealens.operators.ranks import mean_ranks
 from arealens.operators.reports import safe_corr
 
 
 def ranked(run: DataFrame, *by: str) -> DataFrame:
     """``run`` with ry and rp, the mean ranks of y and p among each group's rows as shares."""
-    return run.withColumns({"ry": C.avg_rank_pct("y", *by), "rp": C.avg_rank_pct("p", *by)})
+    return mean_ranks(run, by, {"y": "ry", "p": "rp"})
 
 
 def fit(y: Column, p: Column) -> Column:

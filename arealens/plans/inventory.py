@@ -290,7 +290,7 @@ def _(areas):
 
 @query("a27_city_medians", "areas", sql="WITH m AS (SELECT city, median(jobs) AS med FROM areas GROUP BY city) SELECT city, med, round(coalesce((med - (SELECT avg(med) FROM m)) / nullif((SELECT stddev_samp(med) FROM m), 0), 0), 6) AS z FROM m")
 def _(areas):
-    med = areas.groupBy("city").agg(F.median("jobs").alias("med"))
+    med = ranks.medians(areas, ["city"], "jobs", "med")
     spread = med.agg(F.avg("med").alias("m"), F.nullif(F.stddev_samp("med"), F.lit(0.0)).alias("s"))  # one row
     return med.crossJoin(F.broadcast(spread)).select("city", "med", r(F.coalesce((F.col("med") - F.col("m")) / F.col("s"), F.lit(0.0))).alias("z"))
 
@@ -505,7 +505,9 @@ def _(exposures):
 @query("a26_pool_inventory", "areas", sql="SELECT city, count(*) AS raw, count(*) FILTER (population > 0) AS kept, sum(population) AS people, round(median(population) FILTER (population > 0), 6) AS mid, round(100.0 * count(*) FILTER (population = 0) / count(*), 6) AS dropped_pct, round(100.0 * count(*) FILTER (population > 0) / sum(count(*) FILTER (population > 0)) OVER (), 6) AS pool_pct FROM areas GROUP BY city")
 def _(areas):
     kept = F.col("population") > 0
-    found = areas.groupBy("city").agg(F.count("*").alias("raw"), F.count_if(kept).alias("kept"), F.sum("population").alias("people"), r(F.median(F.when(kept, F.col("population")))).alias("mid"))
+    found = areas.groupBy("city").agg(F.count("*").alias("raw"), F.count_if(kept).alias("kept"), F.sum("population").alias("people"))
+    middle = ranks.medians(areas.where(kept), ["city"], "population", "mid").withColumn("mid", r("mid"))
+    found = found.join(middle, "city", "left")
     pool = found.agg(F.sum("kept").alias("pool"))
     share = found.crossJoin(F.broadcast(pool))  # one row
     return share.select("city", "raw", "kept", "people", "mid", r(100.0 * (F.col("raw") - F.col("kept")) / F.col("raw")).alias("dropped_pct"), r(100.0 * F.col("kept") / F.col("pool")).alias("pool_pct"))

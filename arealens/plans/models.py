@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from arealens.functions import columns as C
 from arealens.functions import projection
-from arealens.operators import overlay, regression, scores, spatial
+from arealens.operators import overlay, ranks, regression, scores, spatial
+from arealens.operators.joins import join_keyed
 from arealens.plans.inventory import ORACLES, QUERIES, query, r
 from arealens.plans.queries import FITS, KNN
 
@@ -169,9 +170,10 @@ RANKS = "SELECT city, rank() OVER (PARTITION BY city ORDER BY jobs) + (count(*)
 
 @query("t3_mean_spearman", "areas", sql=f"SELECT round(avg(ab), 5) AS jobs_balance, round(avg(ac), 5) AS jobs_population, round(avg(bc), 5) AS balance_population FROM (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM ({RANKS}) GROUP BY city)")
 def _(areas):
-    ranks = areas.select("city", *[C.avg_rank_pct(c, "city").alias(c) for c in ("jobs", "balance", "population")])
+    names = ("jobs", "balance", "population")
+    ranked = ranks.mean_ranks(areas.select("city", *names), ["city"], {c: f"r_{c}" for c in names}).select("city", *[F.col(f"r_{c}").alias(c) for c in names])
     pairs = (("jobs", "balance"), ("jobs", "population"), ("balance", "population"))
-    cities = ranks.groupBy("city").agg(*[scores.safe_corr(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
+    cities = ranked.groupBy("city").agg(*[scores.safe_corr(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
     return cities.agg(*[r(F.avg(f"{a}_{b}"), 5).alias(f"{a}_{b}") for a, b in pairs])
 
 
@@ -411,13 +413,15 @@ def _(areas):
 
 @query("h8_direction", "areas", sql=f"SELECT city, CASE WHEN count(*) >= 3 THEN round(corr(a, b), 5) END AS rho FROM (SELECT city, rank() OVER (PARTITION BY city ORDER BY c_jobs) + (count(*) OVER (PARTITION BY city, c_jobs) - 1) / 2.0 AS a, rank() OVER (PARTITION BY city ORDER BY y) + (count(*) OVER (PARTITION BY city, y) - 1) / 2.0 AS b FROM ({PARTS})) GROUP BY city")
 def _(areas):
-    ranked = contributions(areas).select("city", C.avg_rank_pct("c_jobs", "city").alias("a"), C.avg_rank_pct("y", "city").alias("b"))
+    ranked = ranks.mean_ranks(contributions(areas), ["city"], {"c_jobs": "a", "y": "b"})
     return ranked.groupBy("city").agg(F.when(F.count("*") >= 3, r(scores.safe_corr(F.col("a"), F.col("b")), 5)).alias("rho"))
 
 
 @query("h11_zero_profile", "areas", sql=f"SELECT population = 0 AS none, count(*) AS n, round(median(y), 4) AS middle, round(avg(c_population), 5) AS push FROM ({PARTS}) GROUP BY 1")
 def _(areas):
-    return contributions(areas).groupBy((F.col("population") == 0).alias("none")).agg(F.count("*").alias("n"), r(F.median("y"), 4).alias("middle"), r(F.avg("c_population"), 5).alias("push"))
+    parts = contributions(areas).withColumn("none", F.col("population") == 0)
+    found = parts.groupBy("none").agg(F.count("*").alias("n"), r(F.avg("c_population"), 5).alias("push"))
+    return found.join(ranks.medians(parts, ["none"], "y", "middle"), "none").withColumn("middle", r("middle", 4))
 
 
 @query("l3_relevel", "areas", sql="WITH c AS (SELECT city, avg(jobs) AS m, CASE WHEN city % 4 <> 0 THEN 100.0 + city END AS level FROM areas GROUP BY city) SELECT geoid, round(CASE WHEN level / m > 0 THEN jobs * pow(level / m, 0.5) ELSE jobs END, 5) AS p FROM areas JOIN c USING (city)")
@@ -456,8 +460,8 @@ def _(incidents, areas):
 def _(incidents, areas):
     table = target(incidents, areas)
     known = F.when(F.col("population") != 0, F.col("population"))
-    middle = areas.groupBy("city").agg(F.median(known).alias("mid"))
-    filled = table.join(middle, "city").withColumn("filled", F.coalesce(known.cast("double"), "mid"))
+    middle = ranks.medians(areas.select("city", known.alias("known")), ["city"], "known", "mid")
+    filled = join_keyed(table, middle, ["city"], "left").withColumn("filled", F.coalesce(known.cast("double"), "mid"))
     return filled.select("geoid", r(F.log1p("filled")).alias("log_population"), *[(F.col("state") == k).cast("int").alias(f"state_{k}") for k in (1, 2)], r(F.log1p(r("rate", 5)), 5).alias("target"))
 
 

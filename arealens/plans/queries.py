@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealens.functions import columns as C
-from arealens.operators import aggregates, cleaning, curves, regression, spatial
+from arealens.operators import aggregates, cleaning, curves, ranks, regression, spatial
 from arealens.operators.graph import connected_components
+from arealens.operators.joins import join_keyed
 from arealens.plans.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,8 +251,8 @@ def _(events):
 
 @query("a23_distribution", "incidents", sql="SELECT code, round(quantile_cont(amount, 0.5), 4) AS median, round(quantile_cont(amount, 0.1), 4) AS p10, round(quantile_cont(amount, 0.9), 4) AS p90, round(quantile_cont(amount, 0.99), 4) AS p99 FROM incidents GROUP BY code")
 def _(incidents):
-    p = incidents.groupBy("code").agg(F.percentile("amount", F.array(*[F.lit(q) for q in (0.5, 0.1, 0.9, 0.99)])).alias("p"))
-    return p.select("code", *[r(F.col("p")[i], 4).alias(n) for i, n in enumerate(("median", "p10", "p90", "p99"))])
+    p = ranks.quantiles(incidents, ["code"], ["amount"], [0.5, 0.1, 0.9, 0.99])
+    return p.select("code", *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(("median", "p10", "p90", "p99"))])
 
 
 @query("a31_apportionment", "areas", sql="SELECT geoid, round(1000.0 * population / sum(population) OVER (PARTITION BY city), 6) AS part FROM areas")
@@ -265,7 +266,7 @@ def _(areas):
 
 @query("w2_average_rank", "areas", sql="SELECT geoid, round((rank() OVER (PARTITION BY city ORDER BY jobs) + (count(*) OVER (PARTITION BY city, jobs) - 1) / 2.0) / count(*) OVER (PARTITION BY city), 6) AS pct FROM areas")
 def _(areas):
-    return areas.select("geoid", r(C.avg_rank_pct("jobs", "city")).alias("pct"))
+    return ranks.mean_ranks(areas, ["city"], {"jobs": "pct"}).select("geoid", r("pct").alias("pct"))
 
 
 @query("w3_z_score", "areas", sql="SELECT geoid, round((balance - avg(balance) OVER (PARTITION BY city)) / stddev_samp(balance) OVER (PARTITION BY city), 5) AS z FROM areas")
@@ -304,7 +305,8 @@ def _(exposures):
 
 @query("w9_deciles", "areas", sql="SELECT geoid, cast(greatest(1, least(10, ceil(round(10 * (rank() OVER (PARTITION BY city ORDER BY jobs) + (count(*) OVER (PARTITION BY city, jobs) - 1) / 2.0) / count(*) OVER (PARTITION BY city), 9)))) AS integer) AS decile FROM areas")
 def _(areas):
-    return areas.select("geoid", F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.round(10 * C.avg_rank_pct("jobs", "city"), 9)))).cast("int").alias("decile"))
+    tenth = F.ceil(F.round(10 * F.col("pct"), 9))
+    return ranks.mean_ranks(areas, ["city"], {"jobs": "pct"}).select("geoid", F.greatest(F.lit(1), F.least(F.lit(10), tenth)).cast("int").alias("decile"))
 
 
 @query("o3_latest_vintage", "incidents", sql="SELECT area_id, yr, id FROM (SELECT area_id, year(occurred) AS yr, id, row_number() OVER (PARTITION BY area_id, year(occurred) ORDER BY occurred DESC, id DESC) AS k FROM incidents) WHERE k = 1")
@@ -340,7 +342,7 @@ def _(areas):
 @query("f6_median_fill", "areas", sql="SELECT geoid, coalesce(nullif(population, 0), m) AS population FROM areas JOIN (SELECT city, median(nullif(population, 0)) AS m FROM areas GROUP BY city) USING (city)")
 def _(areas):
     known = areas.withColumn("p", F.when(F.col("population") != 0, F.col("population").cast("double")))
-    return known.join(known.groupBy("city").agg(F.median("p").alias("m")), "city").select("geoid", F.coalesce("p", "m").alias("population"))
+    return join_keyed(known, ranks.medians(known, ["city"], "p", "m"), ["city"], "left").select("geoid", F.coalesce("p", "m").alias("population"))
 
 
 @query("f15_haversine", "areas", "facilities", sql="SELECT a.id, f.id AS place, round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(f.y / 2 - a.y / 2) / 2), 2) + cos(radians(a.y / 2)) * cos(radians(f.y / 2)) * pow(sin(radians(f.x - a.x) / 2), 2)))), 4) AS km FROM areas a JOIN facilities f USING (city)")
@@ -359,8 +361,7 @@ def _(facilities):
 
 @query("t1_within_spearman", "areas", sql="SELECT city, round(corr(a, b), 5) AS rho FROM (SELECT city, rank() OVER (PARTITION BY city ORDER BY jobs) + (count(*) OVER (PARTITION BY city, jobs) - 1) / 2.0 AS a, rank() OVER (PARTITION BY city ORDER BY balance) + (count(*) OVER (PARTITION BY city, balance) - 1) / 2.0 AS b FROM areas) GROUP BY city")
 def _(areas):
-    ranked = areas.select("city", C.avg_rank_pct("jobs", "city").alias("a"), C.avg_rank_pct("balance", "city").alias("b"))
-    return ranked.groupBy("city").agg(r(F.corr("a", "b"), 5).alias("rho"))
+    return ranks.mean_ranks(areas, ["city"], {"jobs": "a", "balance": "b"}).groupBy("city").agg(r(F.corr("a", "b"), 5).alias("rho"))
 
 
 @query("t2_variance_share", "areas", sql="WITH g AS (SELECT balance, population, avg(balance) OVER (PARTITION BY city) AS gb, avg(balance) OVER () AS ab, avg(population) OVER (PARTITION BY city) AS gp, avg(population) OVER () AS ap FROM areas) SELECT 'balance' AS \"column\", round(sum(pow(gb - ab, 2)) / sum(pow(balance - ab, 2)), 6) AS eta2 FROM g UNION ALL SELECT 'population', round(sum(pow(gp - ap, 2)) / sum(pow(population - ap, 2)), 6) FROM g")
@@ -398,8 +399,8 @@ def _(areas):
 
 @query("e2_recall", "areas", sql=f"SELECT city, count(*) FILTER (ty AND tp) AS hit, count(*) FILTER (ty) AS worst FROM (SELECT city, round((rank() OVER (PARTITION BY city ORDER BY y) + (count(*) OVER (PARTITION BY city, y) - 1) / 2.0) / count(*) OVER (PARTITION BY city), 9) >= 0.9 AS ty, round((rank() OVER (PARTITION BY city ORDER BY p) + (count(*) OVER (PARTITION BY city, p) - 1) / 2.0) / count(*) OVER (PARTITION BY city), 9) >= 0.9 AS tp FROM ({RUN})) GROUP BY GROUPING SETS ((city), ())")
 def _(areas):
-    top = lambda c: F.round(C.avg_rank_pct(c, "city"), 9) >= 0.9
-    flagged = scored(areas).select("city", top("y").alias("ty"), top("p").alias("tp"))
+    top = lambda c: F.round(c, 9) >= 0.9
+    flagged = ranks.mean_ranks(scored(areas), ["city"], {"y": "ry", "p": "rp"}).select("city", top("ry").alias("ty"), top("rp").alias("tp"))
     return flagged.groupingSets([["city"], []], "city").agg(F.count_if(F.col("ty") & F.col("tp")).alias("hit"), F.count_if("ty").alias("worst"))
 
 
