@@ -116,6 +116,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arealens.llm.lexical import lexical_search
+
+    return lexical_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -129,6 +135,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_revisits": op10_warc_revisits,
     "op11_simhash": op11_simhash,
     "op12_token_alignment": op12_token_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES: dict[str, str] = {}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op13_lexical_search": f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+        corpus AS (SELECT count(*) AS n_docs, sum(len(w)) AS length FROM d WHERE len(w) > 0),
+        tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY row, doc_id, n, t),
+        df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+        s AS (SELECT item_id, row, doc_id, sum(cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // length))))) AS score
+            FROM q JOIN tf USING (t) JOIN df USING (t), corpus GROUP BY item_id, row, doc_id)
+        SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, cast(score AS bigint) AS score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
+}
