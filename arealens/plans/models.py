@@ -195,16 +195,6 @@ def _(areas):
     return areas.join(rest, "city").select("geoid", r((F.col("jobs") - F.col("mean")) / F.col("sd"), 5).alias("z"))
 
 
-@query("m5_ols_hc3", "areas", sql="WITH m AS (SELECT avg(jobs) AS mx, avg(balance) AS my, count(*) AS n, var_pop(jobs) * count(*) AS sxx, regr_slope(balance, jobs) AS b FROM areas), e AS (SELECT jobs - mx AS d, balance - my - b * (jobs - mx) AS e, 1.0 / n + pow(jobs - mx, 2) / sxx AS h FROM areas, m) SELECT round(max(b), 6) AS coef, round(sqrt(sum(e * e) / (max(n) - 2) / max(sxx)), 6) AS se, round(sqrt(sum(pow(d * e / (1 - h), 2))) / max(sxx), 6) AS se_hc3 FROM e, m")
-def _(areas):
-    m = areas.agg(F.avg("jobs").alias("mx"), F.avg("balance").alias("my"), F.count("*").alias("n"), (F.var_pop("jobs") * F.count("*")).alias("sxx"), F.regr_slope("balance", "jobs").alias("b"))
-    d = F.col("jobs") - F.col("mx")
-    parts = areas.crossJoin(F.broadcast(m)).select("n", "sxx", "b", d.alias("d"), (F.col("balance") - F.col("my") - F.col("b") * d).alias("e"), (1.0 / F.col("n") + d * d / F.col("sxx")).alias("h"))  # one row
-    classic = F.sqrt(F.sum(F.col("e") * F.col("e")) / (F.max("n") - 2) / F.max("sxx"))
-    robust = F.sqrt(F.sum(F.pow(F.col("d") * F.col("e") / (1 - F.col("h")), F.lit(2)))) / F.max("sxx")
-    return parts.agg(r(F.max("b")).alias("coef"), r(classic).alias("se"), r(robust).alias("se_hc3"))
-
-
 @query("m6_within", "areas", sql="WITH z AS (SELECT jobs - avg(jobs) OVER (PARTITION BY city) AS x, (balance - avg(balance) OVER (PARTITION BY city)) / stddev_samp(balance) OVER (PARTITION BY city) AS y FROM areas) SELECT round(sum(x * y) / sum(x * x), 8) AS slope FROM z")
 def _(areas):
     # Sums by city are enough: no row is moved.
@@ -300,12 +290,6 @@ def _(areas):
     return rounded(scores.scorecard(run(areas), ["city"]), "city")
 
 
-@query("e6_fold_table", "areas", sql=f"SELECT city, n, round(rho, 5) AS rho, round(mae, 4) AS mae, round(1 - (1 - r2) * (n - 1) / (n - 3), 5) AS adjusted FROM {card('p', 'city')}")
-def _(areas):
-    found = scores.scorecard(run(areas), ["city"])
-    return found.select("city", "n", r("rho", 5).alias("rho"), r("mae", 4).alias("mae"), r(1 - (1 - F.col("r2")) * F.try_divide(F.col("n") - 1, F.col("n") - 3), 5).alias("adjusted"))
-
-
 @query("f21_adjusted_r2", "areas", sql="SELECT state, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adjusted FROM (SELECT state, regr_r2(balance, jobs) AS r2, count(*) AS n FROM areas GROUP BY state)")
 def _(areas):
     fits = areas.groupBy("state").agg(F.regr_r2("balance", "jobs").alias("r2"), F.count("*").alias("n"))
@@ -357,73 +341,15 @@ def _(areas):
     return mean.crossJoin(F.broadcast(scores.scorecard(ranked, []).select(r("r2", 5).alias("pooled"))))  # one row
 
 
-@query("k2_paired_cities", "areas", sql=f"SELECT count(*) AS cities, round(avg(gain_rho), 5) AS mean_gain, round(stddev_samp(gain_rho), 5) AS sd_gain, round(count(*) FILTER (gain_rho >= 0) / count(*), 6) AS not_worse FROM ({PAIRED})")
-def _(areas):
-    return paired(areas).agg(F.count("*").alias("cities"), r(F.avg("gain_rho"), 5).alias("mean_gain"), r(F.stddev_samp("gain_rho"), 5).alias("sd_gain"), r(F.count_if(F.col("gain_rho") >= 0) / F.count("*")).alias("not_worse"))
-
-
 # Attribution and levels
 
 
-@query("h1_permutation_drop", "areas", sql="WITH o AS (SELECT city, balance AS y, jobs, row_number() OVER (PARTITION BY city, rep ORDER BY id) AS k, rep, row_number() OVER (PARTITION BY city, rep ORDER BY (id * 7919 + rep * 104729) % 10007, id) AS s FROM areas, (SELECT unnest(range(1, 4)) AS rep)), m AS (SELECT a.rep, a.y, a.jobs AS x, b.jobs AS moved FROM o a JOIN o b ON a.city = b.city AND a.rep = b.rep AND a.k = b.s) SELECT rep, round((sum(pow(y - moved, 2)) - sum(pow(y - x, 2))) / (var_pop(y) * count(*)), 6) AS fall FROM m GROUP BY rep")
-def _(areas):
-    each = areas.select("id", "city", F.col("balance").alias("y"), "jobs", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rep"))
-    mixed = (F.col("id") * 7919 + F.col("rep") * 104729) % 10007
-    own = Window.partitionBy("city", "rep")
-    placed = each.withColumns({"k": F.row_number().over(own.orderBy("id")), "s": F.row_number().over(own.orderBy(mixed, "id"))})
-    moved = placed.select("city", "rep", F.col("s").alias("k"), F.col("jobs").alias("moved"))
-    met = placed.join(moved, ["city", "rep", "k"])
-    square = lambda c: F.sum(F.pow(F.col("y") - F.col(c), F.lit(2)))
-    return met.groupBy("rep").agg(r((square("moved") - square("jobs")) / (F.var_pop("y") * F.count("*"))).alias("fall"))
-
-
 @query("h2_sign_stability", "areas", sql=f"SELECT round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS sd, round(greatest(count(*) FILTER (b > 0), count(*) FILTER (b < 0)) / count(*), 6) AS one_sign FROM ({FITS})")
 def _(areas):
     fits = regression.loco_coefficients(areas, ["jobs"], "balance", "city")
     return fits.agg(r(F.avg("_b1")).alias("mean"), r(F.stddev_samp("_b1")).alias("sd"), r(F.greatest(F.count_if(F.col("_b1") > 0), F.count_if(F.col("_b1") < 0)) / F.count("*")).alias("one_sign"))
 
 
-PARTS = "SELECT geoid, city, balance AS y, population, 0.5 * (jobs - avg(jobs) OVER ()) AS c_jobs, -0.02 * (population - avg(population) OVER ()) AS c_population, 0.5 * avg(jobs) OVER () - 0.02 * avg(population) OVER () AS base FROM areas"
-
-
-def contributions(areas):
-    stored = {"jobs": 0.5, "population": -0.02}
-    means = areas.agg(*[F.avg(c).alias(f"m_{c}") for c in stored])
-    base = sum((b * F.col(f"m_{c}") for c, b in stored.items()), F.lit(0.0))
-    parts = [(b * (F.col(c) - F.col(f"m_{c}"))).alias(f"c_{c}") for c, b in stored.items()]
-    return areas.crossJoin(F.broadcast(means)).select("geoid", "city", F.col("balance").alias("y"), "population", *parts, base.alias("base"))  # one row
-
-
-@query("h4_contributions", "areas", sql=f"SELECT geoid, round(c_jobs, 4) AS c_jobs, round(c_population, 4) AS c_population, round(base, 4) AS base, round(base + c_jobs + c_population, 4) AS y_pred FROM ({PARTS})")
-def _(areas):
-    found = contributions(areas).withColumn("y_pred", F.col("base") + F.col("c_jobs") + F.col("c_population"))
-    return found.select("geoid", *[r(c, 4).alias(c) for c in ("c_jobs", "c_population", "base", "y_pred")])
-
-
-@query("h5_importance", "areas", sql=f"SELECT city, round(avg(abs(c_jobs)), 5) AS jobs, round(avg(abs(c_population)), 5) AS population, round(avg(abs(c_jobs + c_population)), 5) AS family FROM ({PARTS}) GROUP BY city")
-def _(areas):
-    size = lambda c: r(F.avg(F.abs(c)), 5)
-    return contributions(areas).groupBy("city").agg(size(F.col("c_jobs")).alias("jobs"), size(F.col("c_population")).alias("population"), size(F.col("c_jobs") + F.col("c_population")).alias("family"))
-
-
-@query("h7_level_push", "areas", sql=f"SELECT city, round(avg(c_jobs), 5) AS jobs, round(avg(c_population), 5) AS population, round(avg(base + c_jobs + c_population), 5) AS mean FROM ({PARTS}) GROUP BY city")
-def _(areas):
-    return contributions(areas).groupBy("city").agg(r(F.avg("c_jobs"), 5).alias("jobs"), r(F.avg("c_population"), 5).alias("population"), r(F.avg(F.col("base") + F.col("c_jobs") + F.col("c_population")), 5).alias("mean"))
-
-
-@query("h8_direction", "areas", sql=f"SELECT city, CASE WHEN count(*) >= 3 THEN round(corr(a, b), 5) END AS rho FROM (SELECT city, rank() OVER (PARTITION BY city ORDER BY c_jobs) + (count(*) OVER (PARTITION BY city, c_jobs) - 1) / 2.0 AS a, rank() OVER (PARTITION BY city ORDER BY y) + (count(*) OVER (PARTITION BY city, y) - 1) / 2.0 AS b FROM ({PARTS})) GROUP BY city")
-def _(areas):
-    ranked = ranks.mean_ranks(contributions(areas), ["city"], {"c_jobs": "a", "y": "b"})
-    return ranked.groupBy("city").agg(F.when(F.count("*") >= 3, r(scores.safe_corr(F.col("a"), F.col("b")), 5)).alias("rho"))
-
-
-@query("h11_zero_profile", "areas", sql=f"SELECT population = 0 AS none, count(*) AS n, round(median(y), 4) AS middle, round(avg(c_population), 5) AS push FROM ({PARTS}) GROUP BY 1")
-def _(areas):
-    parts = contributions(areas).withColumn("none", F.col("population") == 0)
-    found = parts.groupBy("none").agg(F.count("*").alias("n"), r(F.avg("c_population"), 5).alias("push"))
-    return found.join(ranks.medians(parts, ["none"], "y", "middle"), "none").withColumn("middle", r("middle", 4))
-
-
 @query("l3_relevel", "areas", sql="WITH c AS (SELECT city, avg(jobs) AS m, CASE WHEN city % 4 <> 0 THEN 100.0 + city END AS level FROM areas GROUP BY city) SELECT geoid, round(CASE WHEN level / m > 0 THEN jobs * pow(level / m, 0.5) ELSE jobs END, 5) AS p FROM areas JOIN c USING (city)")
 def _(areas):
     anchors = areas.select("city").distinct().where("city % 4 <> 0").withColumn("level", F.lit(100.0) + F.col("city"))

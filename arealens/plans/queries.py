@@ -378,11 +378,6 @@ def _(areas):
     return regression.loco_ridge(areas, ["jobs"], "balance", "city").select("geoid", r("y_pred", 3).alias("y_pred"))
 
 
-@query("m4_ridge_two_predictors", "areas")
-def _(areas):
-    return regression.loco_ridge(areas, ["jobs", "population"], "balance", "city", alpha=10.0).select("geoid", "city", "y_pred")
-
-
 RUN = "SELECT city, geoid, balance AS y, 0.9 * balance + jobs AS p FROM areas"
 
 
@@ -411,19 +406,3 @@ def _(areas):
     return means.select("city", r("y", 4).alias("observed"), r("p", 4).alias("predicted"))
 
 
-@query("l2_leave_one_out_level", "areas", sql="WITH c AS (SELECT city, avg(balance) AS o, avg(jobs) AS a FROM areas GROUP BY city) SELECT x.city, round(x.a * median(z.o / z.a), 4) AS level FROM c x JOIN c z ON x.city <> z.city GROUP BY x.city, x.a")
-def _(areas):
-    cities = areas.groupBy("city").agg(F.avg("balance").alias("o"), F.avg("jobs").alias("a"))
-    others = F.broadcast(cities.select(F.col("city").alias("_c"), (F.col("o") / F.col("a")).alias("ratio")))  # one row a city
-    return cities.join(others, F.col("city") != F.col("_c")).groupBy("city", "a").agg(F.median("ratio").alias("m")).select("city", r(F.col("a") * F.col("m"), 4).alias("level"))
-
-
-@query("x1_morans_i", "areas", sql=f"WITH z AS (SELECT id, state, balance - avg(balance) OVER (PARTITION BY state) AS z FROM areas), e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({KNN}) WHERE rnk <= 6) SELECT a.state, round(sum(w * a.z * b.z) / max(s) * max(n) / sum(w), 6) AS i FROM e JOIN z a ON a.id = src JOIN z b ON b.id = dst JOIN (SELECT state, sum(z * z) AS s, count(*) AS n FROM z GROUP BY state) t ON t.state = a.state GROUP BY a.state")
-def _(areas):
-    z = areas.select("id", "state", C.demeaned("balance", "state").alias("z"))
-    edges = spatial.knn(areas, 6, 12.0, ("state",))
-    weighted = edges.join(edges.groupBy("src").agg((1.0 / F.count("*")).alias("w")), "src")
-    pairs = weighted.join(z.toDF("src", "state", "za"), "src").join(z.select(F.col("id").alias("dst"), F.col("z").alias("zb")), "dst")
-    sums = pairs.groupBy("state").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("c"), F.sum("w").alias("w"))
-    own = z.groupBy("state").agg(F.sum(F.col("z") * F.col("z")).alias("s"), F.count("*").alias("n"))
-    return sums.join(own, "state").select("state", r(F.col("c") / F.col("s") * F.col("n") / F.col("w")).alias("i"))
