@@ -68,7 +68,7 @@ def refined_ends(spans: list[tuple[int, int]], tokens: list[bytes], whole: bytes
 class Aligner:
     """Units met so far, with their aligned tokens. Beyond ``unit_limit`` units those met more than once are kept, up to half as many."""
 
-    def __init__(self, byte_file: str, piece_file: str, unit_limit: int = 150_000) -> None:
+    def __init__(self, byte_file: str, piece_file: str, unit_limit: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -85,6 +85,7 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds a space inside; its texts don't fall into units")
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.mark, self.newline = self.b.piece_to_id(MARK), self.b.piece_to_id("<0x0A>")
         odd = CONTROLS + "".join(c for c in SPACES if any(c in p[1:] for p in pieces))
         cut = "".join(c for c in SPACES if c not in odd)
@@ -115,9 +116,9 @@ class Aligner:
         places = new.tolist()
         self.known = {u: places[k] for u, k in self.known.items() if places[k] >= 0}
 
-    def pieces(self, units: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
+    def pieces(self, units: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]] | list[int]]]:
         """Ids and byte spans of B's pieces in each unit. The model puts a space in front of what it encodes; a unit's own first space stands for
-        it, and other units are encoded behind what nothing merges with, whose pieces are taken off."""
+        it, and other units are encoded behind what nothing merges with, whose pieces are taken off. Of ASCII units only the spans' ends are given."""
         shown = [u[1:] if u[0] == " " else u if u[0] in SPACES else "\n" + u for u in units]
         found = self.b.encode(shown, return_type="proto", num_threads=1)
         ids, spans = [], []
@@ -125,36 +126,41 @@ class Aligner:
             parts = x.pieces
             own = [p.id for p in parts]
             if u == " ":  # the model has no pieces for an empty text
-                own, at = [self.mark], [(0, 1)]
+                own, at = [self.mark], [1]
             elif u[0] == " ":
-                at = [(p.begin + 1, p.end + 1) for p in parts]
-                at[0] = (0, at[0][1])
+                if u.isascii():
+                    at = [p.end + 1 for p in parts]
+                else:
+                    at = [(p.begin + 1, p.end + 1) for p in parts]
+                    at[0] = (0, at[0][1])
             else:
                 at = [(p.begin, p.end) for p in parts]
                 front = [self.mark] if u[0] in SPACES else [self.mark, self.newline]
                 if own[: len(front)] != front:
                     raise ValueError(f"a piece crosses into a unit's front: {u!r}")
                 own, at = own[len(front) :], [(low + 1 - len(front), high + 1 - len(front)) for low, high in at[len(front) :]]
+                at = [high for _, high in at] if u.isascii() else at
             ids.append(own)
             spans.append(at)
         return ids, spans
 
-    def ends(self, units: list[bytes], ids: list[list[int]], spans: list[list[tuple[int, int]]], tokens: list[bytes], sizes: np.ndarray, offsets: list[list[int] | None]) -> tuple[np.ndarray, ...]:
+    def ends(self, units: list[bytes], ids: list[list[int]], spans: list[list[tuple[int, int]] | list[int]], tokens: list[bytes], sizes: np.ndarray, offsets: list[list[int] | None]) -> tuple[np.ndarray, ...]:
         """(number of tokens of each unit, ids, byte ends, whether each unit's tokens make it up), all tokens in a row.
 
         Units of which every span holds as many bytes as its token are cut by their spans alone; others go through ``refined_ends``.
         """
         number = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.int64, number.sum())
-        low, high = (np.fromiter((x[k] for own in spans for x in own), np.int64, number.sum()) for k in (0, 1))
+        plain = np.array([o is None for o in offsets])
+        high = np.fromiter(chain.from_iterable(own if not own or isinstance(own[0], int) else [x for _, x in own] for own in spans), np.int64, number.sum())
         row, good = np.repeat(np.arange(len(ids)), number), np.ones(len(ids), bool)
         first = np.cumsum(number) - number
         before = np.concatenate([[0], high[:-1]])
         before[first[number > 0]] = 0
-        plain = np.array([o is None for o in offsets])
-        plain &= np.bincount(row, (high - low != sizes[flat]) | (low != before), len(ids)) == 0
+        plain &= np.bincount(row, high - before != sizes[flat], len(ids)) == 0
         for k in np.flatnonzero(~plain).tolist():
-            found = refined_ends(spans[k], [tokens[i] for i in ids[k]], units[k], offsets[k])
+            own = [x if isinstance(x, tuple) else (0, x) for x in spans[k]]
+            found = refined_ends(own, [tokens[i] for i in ids[k]], units[k], offsets[k])
             good[k] = found is not None
             high[first[k] : first[k] + number[k]] = found or 0
         whole = b"".join([u for u, p in zip(units, plain.tolist(), strict=True) if p])
@@ -166,10 +172,10 @@ class Aligner:
     def learn(self, units: list[str]) -> None:
         """Encode and align units, and put them behind those known."""
         raw = [u.encode() for u in units]
-        offsets: list[list[int] | None] = [None if len(w) == len(u) else [0, *accumulate(len(c.encode()) for c in u)] for u, w in zip(units, raw, strict=True)]
+        offsets: list[list[int] | None] = [None if u.isascii() else [0, *accumulate(len(c.encode()) for c in u)] for u in units]
         found = self.a.encode_batch(units, add_special_tokens=False)
         na, a, a_ends, good = self.ends(raw, [x.ids for x in found], [x.offsets for x in found], self.a_bytes, self.a_sizes, offsets)
-        nb, b, b_ends, also = self.ends(raw, *self.pieces(units), self.b_bytes, self.b_sizes, [None] * len(units))
+        nb, b, b_ends, also = self.ends(raw, *self.pieces(units), self.b_bytes, self.b_sizes, [None if o is None else [*range(len(w) + 1)] for o, w in zip(offsets, raw, strict=True)])
         good &= also
         base = np.concatenate([[0], np.cumsum([len(w) + 1 for w in raw])])
         ua, ub = np.repeat(np.arange(len(units)), na), np.repeat(np.arange(len(units)), nb)
@@ -181,7 +187,7 @@ class Aligner:
         opens = np.zeros(len(ia), bool)
         opens[(lasts - groups)[groups > 0]] = True
         first_a, first_b = (np.where(opens, (np.cumsum(n) - n)[u[i]], np.concatenate([[0], i[:-1] + 1])) for n, u, i in ((na, ua, ia), (nb, ub, ib)))
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        name_a, name_b = (list(map(self.names.__getitem__, x.tolist())) for x in (a, b))
         shown = [
             f"{name_a[i]}|{name_b[j]}" if i == p and j == q else ",".join(name_a[p : i + 1]) + "|" + ",".join(name_b[q : j + 1])
             for p, i, q, j in zip(first_a.tolist(), ia.tolist(), first_b.tolist(), ib.tolist(), strict=True)
@@ -258,6 +264,7 @@ def aligned(docs: DataFrame, byte_file: str, piece_file: str, key: str = "doc_id
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a large batch took
         own = aligner(byte_file, piece_file)
         for batch in batches:
             for part in text_slices(batch, 1, SLICE_BYTES):
