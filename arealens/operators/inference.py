@@ -130,7 +130,7 @@ def local_moran(units: DataFrame, edges: DataFrame, value: str, by: str, draws:
     mean of its neighbours'. A draw gives a unit k values of other units of its group: those at the k places behind a keyed
     start in an order of the group that is keyed by the draw, the unit's own place left out; values are looked up by place, no group is gathered. p is
     (extreme + 1) / (draws + 1), counted on the side of the permutation distribution that i lies on. Labels are QUADRANTS where p < alpha, else
-    "Not sig."; units without neighbours have null i and p and "Not sig.". Null values are left out.
+    "Not sig.", as where either value is the mean itself; units without neighbours have null i and p and "Not sig.". Null values are left out.
     """
     known = units.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select("id", by, F.col(value).cast("double").alias("_v"))
     groups = known.groupBy(by).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"), F.count("*").alias("_n"))
@@ -155,7 +155,8 @@ def local_moran(units: DataFrame, edges: DataFrame, value: str, by: str, draws:
     p = (F.least("_up", F.col("_draws") - F.col("_up")) + 1) / (F.col("_draws") + 1)
     label = F.lit("Not sig.")
     for (up, around), name in QUADRANTS.items():
-        label = F.when((p < alpha) & ((F.col("_own") > 0) == up) & ((F.col("lag") > 0) == around), name).otherwise(label)
+        sides = ((F.col("_own") > 0) == up) & ((F.col("lag") > 0) == around) & (F.col("_own") != 0) & (F.col("lag") != 0)
+        label = F.when((p < alpha) & sides, name).otherwise(label)
     return joined.select("id", by, "lag", "i", p.alias("p"), label.alias("label"))
 
 

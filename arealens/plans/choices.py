@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arealens.operators import attribution, crossval, inference, levels, scores, selection, spatial
-from arealens.operators.ranks import mean_ranks, medians
-from arealens.plans.models import CARD, ORACLES, QUERIES, card, query, r, run
+from arealens.operators import attribution, crossval, inference, levels, selection, spatial, transit, trees
+from arealens.operators.ranks import medians
+from arealens.plans.models import ORACLES, QUERIES, card, query, r, run
 from arealens.plans.queries import KNN
 from arealens.scratch import stage
 
-__all__ = ["CARD", "ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES"]
 
 # Two predictors of one target, each city fitted on the others with the penalty of least leave-one-out error
 
@@ -251,3 +251,85 @@ LISA_SQL = f"""WITH {_EDGES}, z AS (SELECT id, state, (balance - avg(balance) OV
 def _(areas):
     found = inference.local_moran(areas, spatial.knn(areas, 6, 12.0, ("state",)), "balance", "state", draws=DRAWS, alpha=0.06)
     return found.select("id", r("i").alias("i"), "p", "label")
+
+
+# Trees
+
+STUMPS = trees.TreeParams(trees=2, depth=1, rate=0.5, bins=8, least=20)
+_CUTS = " UNION ALL ".join(f"SELECT {j} AS j, unnest(quantile_cont({c}, [{', '.join(f'{i} / 8.0' for i in range(1, 8))}])) AS cut FROM t" for j, c in ((1, "x1"), (2, "x2")))
+
+
+def _stump(k: int, p: str = "", cuts: str = "cuts") -> str:
+    """One tree of one split for every held-out city, on the residuals of the trees before; tables of this chain begin with ``p``."""
+    return f"""{p}h{k} AS (SELECT f, j, cut, count(*) AS n, sum(y - score) AS s, max(an) AS an, max(sa) AS sa FROM (SELECT *, count(*) OVER (PARTITION BY f) AS an, sum(y - score) OVER (PARTITION BY f) AS sa FROM {p}r{k} WHERE city <> f), {cuts} WHERE CASE j WHEN 1 THEN x1 ELSE x2 END <= cut GROUP BY f, j, cut),
+    {p}g{k} AS (SELECT *, s * s / (n + 1) + (sa - s) * (sa - s) / (an - n + 1) - sa * sa / (an + 1) AS gain FROM {p}h{k} WHERE n >= 20 AND an - n >= 20),
+    {p}b{k} AS (SELECT * FROM {p}g{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(gain, 9) DESC, j, cut) = 1),
+    {p}r{k + 1} AS (SELECT r.f, r.id, r.city, x1, x2, y, score + 0.5 * CASE WHEN CASE j WHEN 1 THEN x1 ELSE x2 END <= cut THEN s / (n + 1) ELSE (sa - s) / (an - n + 1) END AS score FROM {p}r{k} r JOIN {p}b{k} USING (f))"""
+
+
+STUMP_SQL = f"WITH t AS (SELECT id, city, jobs + 0.0 AS x1, population + 0.0 AS x2, {Y} AS y FROM areas), cuts AS (SELECT DISTINCT * FROM ({_CUTS})), c AS (SELECT a.city AS f, sum(b.y) / count(*) AS base FROM (SELECT DISTINCT city FROM t) a JOIN t b ON a.city <> b.city GROUP BY a.city), r1 AS (SELECT f, t.*, base AS score FROM c, t), {_stump(1)}, {_stump(2)}"
+
+
+def stumps(areas):
+    return trees.boosted_folds(areas.withColumn("target", F.expr(Y)), ["jobs", "population"], "target", "city", STUMPS, keep=["id"])
+
+
+@query("m7_boosted_trees", "areas", sql=f"{STUMP_SQL} SELECT id, round(score, 4) AS y_pred FROM r3 WHERE f = city")
+def _(areas):
+    return stumps(areas).rows.select("id", r("y_pred", 4).alias("y_pred"))
+
+
+@query("h3_gain_shares", "areas", sql=f"{STUMP_SQL}, u AS (SELECT CASE j WHEN 1 THEN 'jobs' ELSE 'population' END AS predictor, gain FROM (SELECT j, gain FROM b1 UNION ALL SELECT j, gain FROM b2)) SELECT predictor, round(sum(gain) / (SELECT sum(gain) FROM u), 6) AS share FROM u GROUP BY predictor")
+def _(areas):
+    return trees.gain_shares(stumps(areas)).withColumn("share", r("share"))
+
+
+_R2 = "(SELECT 1 - sum(pow(y - score, 2)) / (var_pop(y) * count(*)) FROM {t} WHERE f = city)"
+
+
+@query("k4_confirm_with_trees", "areas", sql=f"{STUMP_SQL}, one AS (SELECT * FROM cuts WHERE j = 1), or1 AS (SELECT * FROM r1), {_stump(1, 'o', 'one')}, {_stump(2, 'o', 'one')} SELECT round({_R2.format(t='r3')}, 6) AS r2_full, round({_R2.format(t='or3')}, 6) AS r2_reduced, round({_R2.format(t='or3')} - {_R2.format(t='r3')}, 6) AS d_r2")
+def _(areas):
+    table = areas.withColumn("target", F.expr(Y))
+    found = trees.confirm(table, ["jobs", "population"], ["jobs"], "target", "city", "id", params=STUMPS)
+    return areas.sparkSession.createDataFrame([tuple(round(found[c], 6) for c in ("r2_full", "r2_reduced", "d_r2"))], "r2_full double, r2_reduced double, d_r2 double")
+
+
+# Builds
+
+_ON = ", ".join(f"CASE WHEN n_nationkey % {k} = 0 THEN '1' ELSE '0' END AS {d}" for d, k in (("monday", 1), ("tuesday", 1), ("wednesday", 1), ("thursday", 2), ("friday", 2), ("saturday", 3), ("sunday", 5)))
+FEED = {
+    "stops": ("customer", "SELECT cast(c_custkey AS varchar(20)) AS stop_id, ((c_custkey * 7919) % 10007) / 1e2 AS stop_lon, ((c_custkey * 104729) % 10009) / 1e2 AS stop_lat FROM customer WHERE (c_custkey * 7919) % 10007 < 7500"),
+    "routes": ("nation", "SELECT cast(n_nationkey AS varchar(20)) AS route_id, cast(n_nationkey % 4 AS varchar(20)) AS route_type FROM nation"),
+    "trips": ("orders", "SELECT cast(o_orderkey AS varchar(20)) AS trip_id, cast(o_custkey % 25 AS varchar(20)) AS route_id, cast(o_orderkey % 7 AS varchar(20)) AS service_id FROM orders"),
+    "stop_times": ("lineitem", "SELECT cast(l_orderkey AS varchar(20)) AS trip_id, cast(l_suppkey * 15 + l_linenumber AS varchar(20)) AS stop_id, concat(cast(l_partkey % 28 AS varchar(20)), ':', lpad(cast(l_linenumber * 7 AS varchar(20)), 2, '0'), ':00') AS departure_time FROM lineitem"),
+    "calendar": ("nation", f"SELECT cast(n_nationkey AS varchar(20)) AS service_id, {_ON}, '19950601' AS start_date, '19950630' AS end_date FROM nation WHERE n_nationkey < 7"),
+    "calendar_dates": ("region", "SELECT cast(r_regionkey AS varchar(20)) AS service_id, concat('199506', cast(12 + r_regionkey AS varchar(20))) AS date, cast(1 + r_regionkey % 2 AS varchar(20)) AS exception_type FROM region"),
+    "frequencies": ("orders", "SELECT cast(o_orderkey AS varchar(20)) AS trip_id, '05:30:00' AS start_time, concat(cast(9 + o_orderkey % 20 AS varchar(20)), ':00:00') AS end_time, '1800' AS headway_secs FROM orders WHERE o_orderkey % 50 = 1"),
+}
+_SECONDS = "(cast(split_part({c}, ':', 1) AS bigint) * 3600 + cast(split_part({c}, ':', 2) AS bigint) * 60 + cast(split_part({c}, ':', 3) AS bigint))"
+TRANSIT_SQL = f"""WITH {', '.join(f'{k} AS ({v})' for k, (_, v) in FEED.items())},
+    days AS (SELECT service_id, cast(unnest(range(DATE '1995-06-01', DATE '1995-07-01', INTERVAL 1 DAY)) AS date) AS day, [sunday, monday, tuesday, wednesday, thursday, friday, saturday] AS runs FROM calendar),
+    changes AS (SELECT service_id, cast(strptime(date, '%Y%m%d') AS date) AS day, exception_type FROM calendar_dates),
+    serving AS (SELECT service_id, day FROM days WHERE runs[dayofweek(day) + 1] = '1' AND (service_id, day) NOT IN (SELECT (service_id, day) FROM changes WHERE exception_type = '2') UNION SELECT service_id, day FROM changes WHERE exception_type = '1'),
+    daily AS (SELECT day, sum(n) AS n FROM serving JOIN (SELECT service_id, count(*) AS n FROM trips GROUP BY service_id) USING (service_id) WHERE isodow(day) < 6 GROUP BY day),
+    chosen AS (SELECT day FROM daily WHERE n >= 0.8 * (SELECT max(n) FROM daily) ORDER BY abs(date_diff('day', day, DATE '1995-06-15')), day LIMIT 1),
+    often AS (SELECT trip_id, floor(({_SECONDS.format(c='end_time')} - {_SECONDS.format(c='start_time')}) / 1800) AS runs, {_SECONDS.format(c='start_time')} AS a, {_SECONDS.format(c='end_time')} AS b FROM frequencies),
+    tm AS (SELECT stop_id, coalesce(runs, 1) AS runs, coalesce(a, {_SECONDS.format(c='departure_time')}) AS a, coalesce(b, {_SECONDS.format(c='departure_time')}) AS b, route_type FROM stop_times JOIN trips USING (trip_id) JOIN routes USING (route_id) JOIN serving USING (service_id) JOIN chosen USING (day) LEFT JOIN often USING (trip_id)),
+    stop AS (SELECT s.stop_id, stop_lon AS x, stop_lat AS y, coalesce(sum(runs), 0) AS n_trips, coalesce(min(a) < 18000 OR max(b) >= 86400, false) AS overnight, coalesce(list(DISTINCT route_type) FILTER (route_type IS NOT NULL), []) AS kinds FROM stops s LEFT JOIN tm ON tm.stop_id = s.stop_id GROUP BY s.stop_id, stop_lon, stop_lat),
+    flag AS (SELECT stop.*, EXISTS (SELECT 1 FROM facilities f WHERE pow(f.x - stop.x, 2) + pow(f.y - stop.y, 2) <= 4) AS risky, floor(x / 20) + 5 * floor(y / 20) AS geoid FROM stop),
+    sums AS (SELECT geoid, count(*) AS stop_count, sum(n_trips) AS service_intensity, count(*) FILTER (overnight) AS overnight_count, avg(cast(overnight AS integer)) AS overnight_share, count(*) FILTER (risky) AS risky_count, avg(cast(risky AS integer)) AS risky_share, count(*) FILTER (risky AND overnight) AS risky_allnight_count FROM flag GROUP BY geoid),
+    mode AS (SELECT geoid, CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0 END AS div FROM (SELECT geoid, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY geoid) AS t FROM (SELECT geoid, unnest(kinds) AS kind FROM flag) GROUP BY geoid, kind) GROUP BY geoid),
+    far AS (SELECT n_nationkey AS k, min(sqrt(pow(20 * (n_nationkey % 5) + 10 - x, 2) + pow(20 * (n_nationkey // 5) + 10 - y, 2))) AS d FROM nation, stop GROUP BY n_nationkey)
+    SELECT cast(n_nationkey AS bigint) AS geoid, coalesce(stop_count, 0) AS stop_count, cast(coalesce(service_intensity, 0) AS bigint) AS service_intensity, coalesce(overnight_count, 0) AS overnight_count, round(coalesce(overnight_share, 0), 6) AS overnight_share, coalesce(risky_count, 0) AS risky_count, round(coalesce(risky_share, 0), 6) AS risky_share, coalesce(risky_allnight_count, 0) AS risky_allnight_count,
+        round(coalesce(div, 0), 6) AS mode_diversity, round(d, 6) AS nearest_stop, round(coalesce(stop_count, 0) / 400, 6) AS stop_density FROM nation LEFT JOIN sums ON geoid = n_nationkey LEFT JOIN mode ON mode.geoid = n_nationkey JOIN far ON k = n_nationkey"""
+
+
+@query("l9_transit_build", "customer", "nation", "orders", "lineitem", "region", "facilities", sql=TRANSIT_SQL)
+def _(customer, nation, orders, lineitem, region, facilities):
+    given = {"customer": customer, "nation": nation, "orders": orders, "lineitem": lineitem, "region": region}
+    feed = {k: transit.feed_table(given[t].sparkSession.sql(v.replace(f"FROM {t}", "FROM {t}"), t=given[t]), k) for k, (t, v) in FEED.items()}
+    west, south = 20.0 * (F.col("n_nationkey") % 5), 20.0 * F.floor(F.col("n_nationkey") / 5)
+    corner = lambda dx, dy: F.struct((west + dx).alias("x"), (south + dy).alias("y"))
+    squares = nation.select(F.col("n_nationkey").cast("long").alias("geoid"), F.array(*[corner(*d) for d in ((0, 0), (20, 0), (20, 20), (0, 20), (0, 0))]).alias("ring"))
+    found = transit.transit_build(feed, facilities, squares, 2.0, 5.0, "1995-06-15")
+    return found.withColumns({c: r(c) for c in ("overnight_share", "risky_share", "mode_diversity", "nearest_stop", "stop_density")})
