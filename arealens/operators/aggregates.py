@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,16 @@ def variance_share(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     sums = groups.agg(*[x for c in columns for x in (F.sum(f"n_{c}").alias(f"n_{c}"), F.sum(f"s_{c}").alias(f"s_{c}"), F.sum(f"q_{c}").alias(f"q_{c}"), F.sum(F.try_divide(F.pow(f"s_{c}", F.lit(2)), F.col(f"n_{c}"))).alias(f"b_{c}"))])
     mean = lambda c: F.pow(f"s_{c}", F.lit(2)) / F.col(f"n_{c}")
     return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.try_divide(F.col(f"b_{c}") - mean(c), F.col(f"q_{c}") - mean(c)).alias("eta2")) for c in columns])).alias("r")).select("r.*")
+
+
+def severity_weighted(df: DataFrame, by: str, year: str, rates: Sequence[str], change: Column, to: int, level: Sequence[str]) -> DataFrame:
+    """(by, weighted): the mean of a group's rates relative to the mean of all groups, times the sum of those means over ``level``.
+
+    Each rate is carried to the year ``to`` at ``change`` a year, not below 0, and the highest of a group's years counts. A group that lacks a rate has null.
+    """
+    moved = df.select(by, *[F.greatest(F.col(c) * (1 + (F.col(year) - to) * change), F.when(F.col(c).isNotNull(), F.lit(0.0))).alias(c) for c in rates])
+    highest = moved.groupBy(by).agg(*[F.max(c).alias(c) for c in rates])
+    means = highest.agg(*[F.avg(c).alias(f"_u_{c}") for c in rates])
+    joined = highest.crossJoin(F.broadcast(means))  # one row
+    relative = sum((F.try_divide(F.col(c), F.col(f"_u_{c}")) / len(rates) for c in rates), F.lit(0.0))
+    return joined.select(by, (relative * sum((F.col(f"_u_{c}") for c in level), F.lit(0.0))).alias("weighted"))

@@ -68,7 +68,7 @@ def as_of_latest(panel: DataFrame, key: str, time: str, at: Column | int, values
 
 
 def match_predicate(code: str, codes: Sequence, names: Sequence[str], patterns: Sequence[str]) -> Column:
-    """Rows with one of ``codes`` (any, if there are none) of which some name is like some pattern (any, if there are none)."""
+    """Rows with one of ``codes`` (any, if there are none) of which some name is like some pattern in any case (any, if there are none)."""
     coded = F.col(code).isin(list(codes)) if codes else F.lit(True)
-    named = [F.col(n).like(p) for p in patterns for n in names]
+    named = [F.lower(n).like(p.lower()) for p in patterns for n in names]
     return coded & (reduce(lambda a, b: a | b, named) if named else F.lit(True))

@@ -31,3 +31,13 @@ def capture_at(curve: DataFrame, by: Sequence[str], q: float) -> DataFrame:
     step = curve.where((F.col("x0") < q) & (F.col("x") >= q))
     y = F.col("y0") + (F.col("y") - F.col("y0")) * F.try_divide(F.lit(q) - F.col("x0"), F.col("x") - F.col("x0"))
     return step.groupBy(*by).agg(F.max(y).alias("capture"))
+
+
+def share_needed(df: DataFrame, value: str, key: str, goals: Sequence[int], chunks: int = 1024) -> DataFrame:
+    """(goal, top_pct): the least percentage of rows, taken by falling whole-number ``value`` and rising key, that holds ``goal`` percent of its sum."""
+    total = df.agg(F.count("*").alias("_n"), F.sum(value).alias("_all"), F.max(value).alias("_top"))
+    spread = df.crossJoin(F.broadcast(total)).withColumns({"_down": -F.col(value), "_one": F.lit(1).cast("long"), "_at": F.floor((F.col("_top") - F.col(value)) * (chunks - 1) / F.greatest("_top", F.lit(1)))})  # one row
+    placed = running_sum(spread, [], ["_down", key], "_one", "_before", chunk=F.col("_at"))
+    placed = running_sum(placed.withColumn("_at", F.floor((F.col("_top") - F.col(value)) * (chunks - 1) / F.greatest("_top", F.lit(1)))), [], ["_down", key], value, "_sum", chunk=F.col("_at"))
+    reached = placed.withColumn("goal", F.explode(F.array(*map(F.lit, goals)))).where(100 * (F.col("_sum") + F.col(value)) >= F.col("goal") * F.col("_all"))
+    return reached.groupBy("goal").agg((100.0 * F.min(F.col("_before") + 1) / F.max("_n")).alias("top_pct"))

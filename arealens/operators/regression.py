@@ -70,3 +70,14 @@ def loco_ridge(df: DataFrame, columns: Sequence[str], target: str, by: str, alph
     for i, c in enumerate(columns):
         score = score + F.col(f"_b{i + 1}") * F.col(c)
     return df.dropna(subset=[*columns, target]).join(F.broadcast(coefs), F.col(by) == F.col("_g")).select(*df.columns, score.alias("y_pred"))
+
+
+def rest_r2(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """(by, n, r2): rows and r2 of the line of y on x over all other groups' rows that have both, from each group's sums."""
+    rows = df.dropna(subset=[x, y]).select(by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    terms = {"n": F.lit(1.0), "x": F.col("_x"), "y": F.col("_y"), "xx": F.col("_x") * F.col("_x"), "xy": F.col("_x") * F.col("_y"), "yy": F.col("_y") * F.col("_y")}
+    own = rows.groupBy(by).agg(*[F.sum(c).alias(f"_s{k}") for k, c in terms.items()])
+    total = own.agg(*[F.sum(f"_s{k}").alias(f"_t{k}") for k in terms])
+    rest = own.crossJoin(F.broadcast(total)).withColumns({f"_{k}": F.col(f"_t{k}") - F.col(f"_s{k}") for k in terms})  # one row
+    r2 = F.try_divide(F.expr("pow(_n * _xy - _x * _y, 2)"), F.expr("(_n * _xx - _x * _x) * (_n * _yy - _y * _y)"))
+    return rest.select(by, F.col("_n").cast("long").alias("n"), r2.alias("r2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -232,3 +232,118 @@ def screen(
     discard(r, middle)
     spark: SparkSession = df.sparkSession
     return spark.createDataFrame(rows, SCREENED)
+
+
+# Weighted selection: models of log rates, scored on rates by weight
+
+RIDGE_CHOICES = (0.1, 1.0, 10.0)
+HISTORY = "step int, feature string, action string, cv_r2 double, delta double, n_selected int"
+SPLIT_SCORES = "seed int, set string, n_predictors int, n_train long, n_test long, r2_train double, r2_test double, adj_r2_test double, mae_test double"
+
+
+def digest_share(seed: int, key: str) -> Column:
+    """A number from 0 to 1 for each value of ``key``, by a digest of it and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
+
+
+def _weighted_scores(rows: DataFrame, target: str, weight: str, sets: int) -> list[tuple[float | None, float | None]]:
+    """(r2, mean absolute error) on rates, by weight, of predictions p0, p1, ... of log rates."""
+    w, y = F.col(weight), F.col(target)
+    spread = F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y) / F.sum(w)
+    cells = [F.sum(w * F.pow(y - F.expm1(f"p{k}"), F.lit(2))).alias(f"e{k}") for k in range(sets)] + [F.try_divide(F.sum(w * F.abs(y - F.expm1(f"p{k}"))), F.sum(w)).alias(f"m{k}") for k in range(sets)]
+    row = rows.agg(spread.alias("s"), *cells).first()
+    return [(None if not row["s"] or row["s"] <= 0 else 1 - row[f"e{k}"] / row["s"], row[f"m{k}"]) for k in range(sets)]
+
+
+@dataclass(frozen=True)
+class Greedy:
+    direction: str
+    selected: list[str]
+    history: DataFrame
+    cv_r2: float | None
+
+
+def weighted_stepwise(
+    df: DataFrame, columns: Sequence[str], target: str, weight: str, key: str, direction: str = "forward", *, tol: float = 0.001, folds: int = 5, seed: int = 0, alphas: Sequence[float] = RIDGE_CHOICES
+) -> Greedy:
+    """Greedy choice by the weighted r2 of predictions for folds that digests of seed and key deal the rows to.
+
+    forward adds the best column while the gain is more than ``tol``; backward drops, from all, the one whose loss helps most, until every loss
+    costs more than ``tol`` or one is left. Of equal columns the first named is taken. A step is two scans for all its candidates.
+    """
+    if direction not in ("forward", "backward"):
+        raise ValueError("direction is 'forward' or 'backward'")
+    dealt = df.withColumns({"_fold": F.floor(digest_share(seed, key) * folds).cast("int"), "_log": F.log1p(F.col(target).cast("double"))})
+    pool = pool_of(dealt.withColumn(target, F.col(target).cast("double")), columns, "_log", "_fold", keep=[target], weight=weight)
+
+    def tried(sets: list[list[str]]) -> list[float]:
+        fits = fold_fits(pool, sets, alphas)
+        found = _weighted_scores(scored(pool.rows, pool, fits, len(sets)), target, weight, len(sets))
+        discard(fits)
+        return [float("-inf") if r2 is None else r2 for r2, _ in found]
+
+    rows: list[tuple] = []
+    if direction == "forward":
+        selected, best = [], float("-inf")
+        while rest := [c for c in columns if c not in selected]:
+            r2 = tried([[*selected, c] for c in rest])
+            k = max(range(len(rest)), key=r2.__getitem__)
+            if r2[k] - best <= tol or r2[k] == float("-inf"):
+                break
+            selected.append(rest[k])
+            rows.append((len(rows) + 1, rest[k], "add", r2[k], None if best == float("-inf") else r2[k] - best, len(selected)))
+            best = r2[k]
+    else:
+        selected = list(columns)
+        (best,) = tried([selected])
+        rows.append((0, None, "start", best, None, len(selected)))
+        while len(selected) > 1:
+            r2 = tried([[x for x in selected if x != c] for c in selected])
+            k = max(range(len(selected)), key=r2.__getitem__)
+            if r2[k] < best - tol:
+                break
+            gone = selected.pop(k)
+            rows.append((len(rows), gone, "drop", r2[k], r2[k] - best, len(selected)))
+            best = r2[k]
+    return Greedy(direction, selected, df.sparkSession.createDataFrame(rows, HISTORY), best if rows else None)
+
+
+def best_direction(df: DataFrame, columns: Sequence[str], target: str, weight: str, key: str, **options) -> Greedy:
+    """The better of forward and backward choice by its last r2; forward if they are equal."""
+    runs = [weighted_stepwise(df, columns, target, weight, key, d, **options) for d in ("forward", "backward")]
+    return max(runs, key=lambda g: float("-inf") if g.cv_r2 is None else g.cv_r2)
+
+
+def split_scores(df: DataFrame, sets: Mapping[str, Sequence[str]], target: str, weight: str, key: str, seeds: Sequence[int], *, test: float = 0.25, alphas: Sequence[float] = RIDGE_CHOICES) -> list[tuple]:
+    """Rows of SPLIT_SCORES: each set on the same split for each seed. A digest of seed and key puts a share ``test`` of the rows to the test side."""
+    every = list(dict.fromkeys(c for s in sets.values() for c in s))
+    whole = df.withColumns({"_fold": F.lit(0), target: F.col(target).cast("double")}).withColumn("_log", F.log1p(target)).dropna(subset=[key, weight, "_log", *every]).where(F.col(weight) > 0)
+    whole = stage(whole.select("_fold", key, target, weight, "_log", *every), "split_rows")
+    out = []
+    for seed in seeds:
+        side = digest_share(seed, key) < test
+        pool = pool_of(whole.where(~side), every, "_log", "_fold", keep=[target], weight=weight)
+        fits = fold_fits(pool, list(sets.values()), alphas, held_out=False)
+        both = [whole.where(side), pool.rows]
+        (test_side, train_side), (n_test, n_train) = [_weighted_scores(scored(x, pool, fits, len(sets)), target, weight, len(sets)) for x in both], [x.count() for x in both]
+        for (name, columns), (r2, mae), (r2_train, _) in zip(sets.items(), test_side, train_side, strict=True):
+            free = n_test - len(columns) - 1
+            out.append((seed, name, len(columns), n_train, n_test, r2_train, r2, None if r2 is None or free <= 0 else 1 - (1 - r2) * (n_test - 1) / free, mae))
+        discard(fits)
+    return out
+
+
+def nested_selection(df: DataFrame, columns: Sequence[str], target: str, weight: str, key: str, seeds: Sequence[int], *, test: float = 0.25, tol: float = 0.001) -> tuple[DataFrame, dict[int, list[str]]]:
+    """Selection made anew on each split's training side and scored on its test side: SPLIT_SCORES and the columns chosen for each seed."""
+    rows, chosen = [], {}
+    for seed in seeds:
+        pick = best_direction(df.where(digest_share(seed, key) >= test), columns, target, weight, key, tol=tol)
+        chosen[seed] = pick.selected
+        rows += split_scores(df, {"stepwise": pick.selected}, target, weight, key, [seed], test=test)
+    return df.sparkSession.createDataFrame(rows, SPLIT_SCORES), chosen
+
+
+def selection_frequency(spark: SparkSession, chosen: Mapping[int, Sequence[str]]) -> DataFrame:
+    """(feature, share_of_splits) of the columns that any split chose."""
+    names = dict.fromkeys(c for s in chosen.values() for c in s)
+    return spark.createDataFrame([(c, sum(c in s for s in chosen.values()) / len(chosen)) for c in names], "feature string, share_of_splits double")

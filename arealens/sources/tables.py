@@ -67,3 +67,18 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column the percentage of rows that are not null, from one pass."""
     cells = [F.struct(F.lit(c).alias("column"), (F.try_divide(F.count(c), F.count("*")) * 100).alias("pct")) for c in columns]
     return df.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def quality_gate(df: DataFrame, source: str, category: str, mapped_from: str, required: Sequence[str], baseline: DataFrame, *, least_mapped: float, least_growth: float) -> DataFrame:
+    """Per source n, mapped (rows with a category), kinds (different values of ``mapped_from`` among them) and three findings.
+
+    too_few: under ``least_mapped`` of the rows are mapped; shrunk: fewer rows than ``least_growth`` times those of ``baseline`` (source, baseline), false
+    for a source that it lacks; missing: how many of the ``required`` categories have no row.
+    """
+    has = [F.max((F.col(category) == c).cast("int")) for c in required]
+    mapped = F.col(category).isNotNull()
+    found = df.groupBy(source).agg(F.count("*").alias("n"), F.count_if(mapped).alias("mapped"), F.count_distinct(F.when(mapped, F.col(mapped_from))).alias("kinds"), *[F.coalesce(h, F.lit(0)).alias(f"_has{i}") for i, h in enumerate(has)])
+    joined = found.join(baseline, source, "left")
+    missing = sum((1 - F.col(f"_has{i}") for i in range(len(required))), F.lit(0))
+    shrunk = F.coalesce(F.col("n") < F.lit(least_growth) * F.col("baseline"), F.lit(False))
+    return joined.select(source, "n", "mapped", "kinds", (F.col("mapped") < least_mapped * F.col("n")).alias("too_few"), shrunk.alias("shrunk"), missing.alias("missing"))

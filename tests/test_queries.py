@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from arealens.plans.choices import ORACLES, QUERIES
+from arealens.plans.details import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -1,5 +1,7 @@
 """Fold fits, penalties by leave-one-out, stepwise paths and screening, held against plain numpy."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,3 +175,62 @@ def test_screening_verdicts(spark):
     assert "city_identifying" in noted["note"] and "artifact" not in noted["reason"]
     with pytest.raises(KeyError):
         selection.screen(df, ["nope"], "y", "city")
+
+
+def share_of(seed, key):
+    return int(hashlib.md5(f"{seed}-{key}".encode()).hexdigest()[:8], 16) / 16**8
+
+
+def weighted_ridge(x, y, w):
+    """Weighted fit on columns scaled by unweighted deviations, with the penalty of least weighted leave-one-out error."""
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    root = np.sqrt(w)
+    design = np.c_[np.ones(len(y)), z] * root[:, None]
+    best = None
+    for a in selection.RIDGE_CHOICES:
+        inverse = np.linalg.inv(design.T @ design + a * np.diag([0.0] + [1.0] * x.shape[1]))
+        b = inverse @ design.T @ (y * root)
+        error = (((y * root - design @ b) / (1 - np.einsum("ij,jk,ik->i", design, inverse, design))) ** 2).sum()
+        if best is None or error < best[0]:
+            best = (error, b)
+    b = best[1]
+    return lambda q: b[0] + (q - x.mean(axis=0)) / x.std(axis=0) @ b[1:]
+
+
+def weighted_r2(t, p, w):
+    return 1 - (w * (t - p) ** 2).sum() / (w * (t - np.average(t, weights=w)) ** 2).sum()
+
+
+def test_weighted_search_and_splits_equal_a_plain_one(spark):
+    frame = table(0, 4, 50)
+    frame["t"], frame["w"] = np.expm1(np.abs(frame["y"])), 1.0 + frame["id"] % 7
+    x, t, w = frame[COLUMNS].to_numpy(), frame["t"].to_numpy(), frame["w"].to_numpy()
+    fold = np.array([int(share_of(0, k) * 5) for k in frame["id"]])
+
+    def cv(at):
+        p = np.zeros(len(t))
+        for f in range(5):
+            p[fold == f] = np.expm1(weighted_ridge(x[fold != f][:, at], np.log1p(t[fold != f]), w[fold != f])(x[fold == f][:, at]))
+        return weighted_r2(t, p, w)
+
+    df = spark.createDataFrame(frame)
+    selected, best, want = [], -np.inf, []
+    while rest := [j for j in range(3) if j not in selected]:
+        r2, j = max((cv([*selected, j]), -j) for j in rest)
+        if r2 - best <= 0.001:
+            break
+        selected.append(-j)
+        want.append((COLUMNS[-j], r2))
+        best = r2
+    got = selection.weighted_stepwise(df, COLUMNS, "t", "w", "id")
+    assert [r["feature"] for r in got.history.collect()] == [c for c, _ in want] == got.selected
+    assert [r["cv_r2"] for r in got.history.collect()] == pytest.approx([r2 for _, r2 in want], abs=1e-9)
+    back = selection.weighted_stepwise(df, COLUMNS, "t", "w", "id", "backward")
+    assert back.history.first()["cv_r2"] == pytest.approx(cv([0, 1, 2])) and {"x1", "x2"} <= set(back.selected)
+    (row,) = selection.split_scores(df, {"two": ["x1", "x2"]}, "t", "w", "id", [3])
+    test = np.array([share_of(3, k) < 0.25 for k in frame["id"]])
+    fit = weighted_ridge(x[~test][:, :2], np.log1p(t[~test]), w[~test])
+    assert row[3:5] == (int((~test).sum()), int(test.sum()))
+    assert row[5:7] == pytest.approx((weighted_r2(t[~test], np.expm1(fit(x[~test][:, :2])), w[~test]), weighted_r2(t[test], np.expm1(fit(x[test][:, :2])), w[test])))
+    scores, chosen = selection.nested_selection(df, COLUMNS, "t", "w", "id", seeds=(0,))
+    assert scores.count() == 1 and {r["feature"]: r["share_of_splits"] for r in selection.selection_frequency(spark, chosen | {9: ["x3"]}).collect()}["x1"] == 0.5
