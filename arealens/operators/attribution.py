@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from arealens.operators.crossval import ALPHAS, Pool, fold_fits, pool_of, scored
 from arealens.operators.inference import keyed_order
 from arealens.operators.joins import join_keyed
-from arealens.operators.ranks import mean_ranks
+from arealens.operators.ranks import mean_ranks, medians, quantiles
 from arealens.operators.reports import safe_corr
-from arealens.operators.selection import score_sets
+from arealens.operators.selection import city_rank_correlations, score_sets
 from arealens.scratch import discard, stage
 
 
@@ -109,3 +110,32 @@ def direction(rows: DataFrame, by: str, outcome: str, parts: Sequence[str]) -> D
     """(by, one column for each of ``parts``): rank correlation of a contribution with the outcome in each group; null under three rows or without spread."""
     ranked = mean_ranks(rows.select(by, outcome, *parts), [by], {c: f"_r{i}" for i, c in enumerate([outcome, *parts])})
     return ranked.groupBy(by).agg(*[F.when(F.count("*") >= 3, safe_corr(F.col(f"_r{i}"), F.col("_r0"))).alias(c) for i, c in enumerate(parts, 1)])
+
+
+def city_features(pool: Pool, fits: DataFrame, city: object, key: str, repeats: int = 3) -> DataFrame:
+    """One held-out city, a row for each predictor: share (of the city's mean absolute contributions), drop (of its r2 when shuffled among its rows),
+    local_rho and others_rho (rank correlation with the target there, and the median over the other cities), model_dir (rank correlation with its own
+    contribution), agrees (one sign), pctile (where the city's median lies among the others' rows, equal values counting half).
+
+    A predictor that is constant in the city has null drop, correlations, direction and agreement.
+    """
+    own = replace(pool, rows=pool.rows.where(F.col(pool.by) == F.lit(city)))
+    rows = stage(contributions(own, fits), "city_contributions")
+    names = list(pool.columns)
+    melt = lambda prefix, what: F.explode(F.array(*[F.struct(F.lit(c).alias("predictor"), F.col(f"{prefix}{c}").alias(what)) for c in names])).alias("x")
+    size = rows.select(melt("c_", "v")).select("x.*").groupBy("predictor").agg(F.avg(F.abs("v")).alias("_size"))
+    share = size.crossJoin(F.broadcast(size.agg(F.sum("_size").alias("_all")))).select("predictor", F.try_divide("_size", "_all").alias("share"))  # one row
+    rho = stage(city_rank_correlations(pool.rows, names, pool.by, pool.target).where(F.col("_b") == pool.target).select(pool.by, F.col("_a").alias("predictor"), F.col("_r").alias("rho")), "city_rhos")
+    here = F.col(pool.by) == F.lit(city)
+    local = rho.where(here).select("predictor", F.col("rho").alias("local_rho"))
+    others = medians(rho.where(~here), ["predictor"], "rho", "others_rho")
+    ranked = mean_ranks(rows.select(pool.by, *names, *[f"c_{c}" for c in names]), [pool.by], {c: f"_r_{c}" for c in [*names, *[f"c_{c}" for c in names]]})
+    way = ranked.agg(*[safe_corr(F.col(f"_r_{c}"), F.col(f"_r_c_{c}")).alias(c) for c in names]).select(melt("", "model_dir")).select("x.*")
+    middle = quantiles(own.rows, [], names, [0.5]).select(F.col("column").alias("predictor"), F.col("q")[0].alias("_mid"))
+    rest = pool.rows.where(~here).select(melt("", "v")).select("x.*").join(F.broadcast(middle), "predictor")  # one row a predictor
+    place = rest.groupBy("predictor").agg(((F.count_if(F.col("v") < F.col("_mid")) + 0.5 * F.count_if(F.col("v") == F.col("_mid"))) / F.count("*")).alias("pctile"))
+    out = share
+    for part in (shuffled_costs(own, fits, key, repeats), local, others, way, place):
+        out = out.join(part, "predictor", "left")
+    constant = F.col("local_rho").isNull()
+    return out.withColumn("others_rho", F.when(~constant, F.col("others_rho"))).withColumn("agrees", F.signum("local_rho") == F.signum("model_dir"))

@@ -21,7 +21,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     A group is laid out by ``chunk`` (default: a hash of ``order`` over ``chunks`` values) and, within a
     chunk, by ``order``. Chunks are summed first, so a group with a third of all rows is spread over
     ``chunks`` tasks; rows tied on ``order`` must be interchangeable. Null keys form a group; a null
-    ``value`` counts as 0. A column of ``df`` named ``into`` is replaced; ``_chunk`` and ``_base`` are used within.
+    ``value`` counts as 0. A column of ``df`` named ``into`` is replaced; ``_chunk``, ``_base``, ``_local``, ``_total``, ``_c`` and names that begin with ``_k_`` are used within.
     """
     df = df.drop(into).withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)) if chunk is None else chunk)
     amount = F.coalesce(F.col(value), F.lit(0))

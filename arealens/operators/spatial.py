@@ -14,17 +14,26 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether the point lies inside a closed ring (array of x, y structs): an odd number of edges to its right cross its height."""
-    edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+    return inside_edges(x, y, ring_edges(ring))
+
+
+def ring_edges(ring: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * F.try_divide(y - e["a"]["y"], e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, cell: float) -> DataFrame:
-    """Pairs of a point and a polygon that holds it; polygons are laid over the cells of their bounding box."""
+    """Pairs of a point and a polygon that holds it; polygons are laid over the cells of their bounding box, their edges are made once, and the box is tried first."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    laid = polygons.withColumn("_cx", _cells(F.array_min(xs), F.array_max(xs), cell)).withColumn("_cy", _cells(F.array_min(ys), F.array_max(ys), cell))
+    box = {"_w": F.array_min(xs), "_e": F.array_max(xs), "_s": F.array_min(ys), "_n": F.array_max(ys), "_edges": ring_edges(F.col(ring))}
+    laid = polygons.withColumns(box).withColumn("_cx", _cells(F.col("_w"), F.col("_e"), cell)).withColumn("_cy", _cells(F.col("_s"), F.col("_n"), cell))
     placed = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell))
-    return placed.join(laid, ["_cx", "_cy"]).where(inside_ring(F.col(x), F.col(y), F.col(ring))).drop("_cx", "_cy")
+    boxed = F.col(x).between(F.col("_w"), F.col("_e")) & F.col(y).between(F.col("_s"), F.col("_n"))
+    return placed.join(laid, ["_cx", "_cy"]).where(boxed & inside_edges(F.col(x), F.col(y), F.col("_edges"))).drop("_cx", "_cy", *box)
 
 
 def pairs_within(left: DataFrame, right: DataFrame, distance: float, on: tuple[str, ...] = ()) -> DataFrame:

@@ -197,7 +197,7 @@ def _(areas):
 
 # Levels
 
-LEVELS = "WITH t AS (SELECT city, population AS w, ln(1 + jobs) AS y, ln(1 + population / 5.0) AS p FROM areas), c AS (SELECT city, sum((exp(y) - 1) * w) / sum(w) AS obs_rate, avg(y) AS obs_log, avg(p) AS pred_log, sum((exp(p) - 1) * w) / sum(w) AS pred_rate, CASE WHEN city % 7 <> 3 THEN 300.0 + 11 * city END AS anchor FROM t GROUP BY city)"
+LEVELS = "WITH t AS (SELECT city, population AS w, ln(1 + jobs) AS y, ln(1 + population / 5.0) AS p FROM areas), c AS (SELECT city, sum((exp(y) - 1) * w) / sum(w) AS obs_rate, avg(y) AS obs_log, avg(p) AS pred_log, sum((exp(p) - 1) * w) / sum(w) AS pred_rate, CASE WHEN city % 7 <> 3 THEN cast(300 + 11 * city AS double) END AS anchor FROM t GROUP BY city)"
 
 
 def level_stats(areas):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arealens.operators import aggregates, curves, overlay, ranks, regression, scores, selection, targets, trees
-from arealens.plans.choices import ORACLES, QUERIES, STUMPS, Y, query, r
+from arealens.operators import aggregates, attribution, curves, overlay, ranks, regression, scores, selection, targets, trees
+from arealens.plans.choices import FIT, ORACLES, QUERIES, STUMPS, Y, fitted, query, r
 from arealens.scratch import stage
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,10 +14,10 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("s15_key_audit", "incidents", sql="SELECT length(geoid) AS length, count(*) AS n, count(*) - count(DISTINCT geoid) AS repeated FROM incidents GROUP BY 1")
 def _(incidents):
     keys = incidents.groupBy("geoid").agg(F.count("*").alias("n"))
-    return keys.groupBy(F.length("geoid").alias("length")).agg(F.sum("n").alias("n"), (F.sum("n") - F.count("*")).alias("repeated"))
+    return keys.groupBy(F.length("geoid").cast("long").alias("length")).agg(F.sum("n").alias("n"), (F.sum("n") - F.count("*")).alias("repeated"))
 
 
-@query("p17_scopes", "areas", sql="SELECT scope, count(*) AS n, sum(population) AS people FROM (SELECT unnest(CASE WHEN city < 10 THEN ['all', 'inside'] ELSE ['all', 'outside'] END) AS scope, population FROM areas) GROUP BY scope")
+@query("p17_scopes", "areas", sql="SELECT scope, count(*) AS n, cast(sum(population) AS bigint) AS people FROM (SELECT unnest(CASE WHEN city < 10 THEN ['all', 'inside'] ELSE ['all', 'outside'] END) AS scope, population FROM areas) GROUP BY scope")
 def _(areas):
     scope = F.explode(F.array(F.lit("all"), F.when(F.col("city") < 10, "inside").otherwise("outside")))
     return areas.select(scope.alias("scope"), "population").groupBy("scope").agg(F.count("*").alias("n"), F.sum("population").alias("people"))
@@ -69,7 +69,7 @@ def _(incidents):
 @query("f30_text_functions", "part", sql="SELECT p_partkey, upper(trim(p_name)) AS a, substr(p_name, 3, 4) AS b, p_name LIKE '%e%' AS c, regexp_extract(p_brand, '#([0-9])', 1) AS d, string_split(p_name, ' ')[1] AS e, lpad(cast(p_partkey AS varchar), 9, '0') AS f, replace(p_name, ' ', '_') AS g, length(p_name) AS h, lower(p_brand) AS i FROM part")
 def _(part):
     n, b = F.col("p_name"), F.col("p_brand")
-    return part.select("p_partkey", F.upper(F.trim(n)).alias("a"), F.substring(n, 3, 4).alias("b"), n.like("%e%").alias("c"), F.regexp_extract(b, "#([0-9])", 1).alias("d"), F.split(n, " ")[0].alias("e"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("f"), F.replace(n, F.lit(" "), F.lit("_")).alias("g"), F.length(n).alias("h"), F.lower(b).alias("i"))
+    return part.select("p_partkey", F.upper(F.trim(n)).alias("a"), F.substring(n, 3, 4).alias("b"), n.like("%e%").alias("c"), F.regexp_extract(b, "#([0-9])", 1).alias("d"), F.split(n, " ")[0].alias("e"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("f"), F.replace(n, F.lit(" "), F.lit("_")).alias("g"), F.length(n).cast("long").alias("h"), F.lower(b).alias("i"))
 
 
 @query("f34_number_functions", "areas", sql="SELECT geoid, round(ln(1 + jobs), 6) AS a, round(exp(jobs / 1000.0) - 1, 6) AS b, round(sqrt(population), 6) AS c, round(log10(1 + population), 6) AS d, round(pow(jobs, 1.5), 4) AS e, cast(sign(balance) AS integer) AS f, cast(ceil(balance) AS bigint) AS g, round(least(greatest(balance, -100), 5000), 2) AS h, round(radians(x), 8) AS i, round(sqrt(x * x + y * y), 6) AS j FROM areas")
@@ -182,3 +182,24 @@ def _(areas, incidents):
     rows = joined.where("population > 0").join(cities, "city", "left_semi").withColumn("a", 1000.0 * F.col("n") / F.col("population"))
     found = targets.targets(rows, "city", count="n", rate="a", daytime="a", cap=60.0)
     return found.select("city", "geoid", r("lograte", 5).alias("lograte"), r("lograte_within_city", 4).alias("within_city"))
+
+
+_CITY = 3
+_RANK = "rank() OVER (PARTITION BY city ORDER BY {c}) + (count(*) OVER (PARTITION BY city, {c}) - 1) / 2.0"
+_EACH = "CASE predictor WHEN 'jobs' THEN {a} ELSE {b} END"
+CITY_SQL = f"""WITH {FIT}, f AS (SELECT unnest(['jobs', 'population']) AS predictor), d AS (SELECT unnest(range(1, 4)) AS rep),
+    o AS (SELECT *, row_number() OVER (ORDER BY md5(cast(id AS varchar))) AS spot FROM parts WHERE city = {_CITY}),
+    e AS (SELECT predictor, rep, id, spot, y - y_pred AS e, {_EACH.format(a='c_jobs', b='c_population')} AS own FROM o, f, d), s AS (SELECT predictor, rep, own AS given, row_number() OVER (PARTITION BY predictor, rep ORDER BY md5(concat(predictor, '-', rep, '-', id))) AS spot FROM e),
+    dr AS (SELECT predictor, sum(pow(e - given + own, 2) - pow(e, 2)) / 3 / (SELECT var_pop(y) * count(*) FROM o) AS fall FROM e JOIN s USING (predictor, rep, spot) GROUP BY predictor),
+    k AS (SELECT city, {_RANK.format(c='x1')} AS r1, {_RANK.format(c='x2')} AS r2, {_RANK.format(c='y')} AS ry FROM r_t), c AS (SELECT city, corr(r1, ry) AS jobs, corr(r2, ry) AS population FROM k GROUP BY city),
+    lo AS (SELECT predictor, max({_EACH.format(a='jobs', b='population')}) FILTER (city = {_CITY}) AS local_rho, median({_EACH.format(a='jobs', b='population')}) FILTER (city <> {_CITY}) AS others_rho FROM c, f GROUP BY predictor),
+    m AS (SELECT predictor, median({_EACH.format(a='x1', b='x2')}) AS mid FROM o, f GROUP BY predictor), pc AS (SELECT predictor, (count(*) FILTER ({_EACH.format(a='x1', b='x2')} < mid) + 0.5 * count(*) FILTER ({_EACH.format(a='x1', b='x2')} = mid)) / count(*) AS pctile FROM r_t, m WHERE city <> {_CITY} GROUP BY predictor),
+    sh AS (SELECT predictor, avg(abs({_EACH.format(a='c_jobs', b='c_population')})) AS v FROM o, f GROUP BY predictor)
+    SELECT predictor, round(v / (SELECT sum(v) FROM sh), 6) AS share, round(fall, 6) AS "drop", round(local_rho, 5) AS local_rho, round(others_rho, 5) AS others_rho, cast(sign({_EACH.format(a='b1', b='b2')}) AS double) AS model_dir, sign(local_rho) = sign({_EACH.format(a='b1', b='b2')}) AS agrees, round(pctile, 6) AS pctile
+    FROM sh JOIN dr USING (predictor) JOIN lo USING (predictor) JOIN pc USING (predictor), fit WHERE fit.city = {_CITY}"""
+
+
+@query("h9_city_features", "areas", sql=CITY_SQL)
+def _(areas):
+    found = attribution.city_features(*fitted(areas), _CITY, "id")
+    return found.select("predictor", "agrees", *[r(c, 5 if c in ("local_rho", "others_rho", "model_dir") else 6).alias(c) for c in ("share", "drop", "local_rho", "others_rho", "model_dir", "pctile")])
