@@ -217,6 +217,18 @@ def test_lines_around_one_passage(spark):
     assert removed <= set(range(400, 450)) and len(removed) >= 48
 
 
+def test_lines_of_a_large_group_are_compared_like_those_of_a_small_one(spark):
+    from arealens.llm.line_dedup import dedup_lines
+
+    rng = random.Random(8)
+    word = lambda: "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(6))
+    passage = " ".join(word() for _ in range(34))
+    own = [[word() for _ in range(16)] for _ in range(150)]
+    lines = [f"{passage} {' '.join(x)}" for x in own] + [f"{passage} {' '.join(w[:5] + '\u00e9' for w in x)}" for x in own]  # the passage is all that a pair's features share
+    removed = {r["doc_id"] for r in dedup_lines(docs_of(spark, [(i, x, "en", "s", 0, 0) for i, x in enumerate(lines)])).where("size(removed) = 1").collect()}
+    assert removed <= set(range(150, 300)) and len(removed) >= 118
+
+
 def test_pieces_equal_the_library(spark):
     from arealens.llm.pieces import PieceEncoder, sentencepiece_round_trip
 
