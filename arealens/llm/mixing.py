@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,26 +85,28 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "do
     plan = docs.sparkSession.createDataFrame(table, "_s string, _i int, source_size long, target double, _width long, _blocks long, _quota long, _key long")
     placed = running_sum(docs, [source], [key, "size"], "size", "_start").join(F.broadcast(plan) if len(table) <= 100_000 else plan, F.col(source).eqNullSafe(F.col("_s")), "left")
 
-    @F.pandas_udf(DRAWS)
-    def draws(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.arrow_udf(DRAWS)
+    def draws(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for p in parts:
-            out: list[list[dict]] = [[] for _ in range(len(p))]
-            for i, own in p.reset_index(drop=True).groupby("_i"):
-                own = own[own["size"] > 0]
-                if own.empty:
-                    continue
-                w, n, q, k = (int(own[c].iloc[0]) for c in ("_width", "_blocks", "_quota", "_key"))
-                start, size = own["_start"].to_numpy(), own["size"].to_numpy()
-                first, last = start // w, (start + size - 1) // w
+            of, start, size, width, count, wanted, key_of = (x.to_numpy(zero_copy_only=False) for x in p.flatten())
+            found = [np.zeros((6, 0), np.int64)]
+            for i in np.unique(of[size > 0]):
+                own = np.flatnonzero((of == i) & (size > 0))
+                w, n, q, k = (int(x[own[0]]) for x in (width, count, wanted, key_of))
+                first, last = start[own] // w, (start[own] + size[own] - 1) // w
                 row = np.repeat(np.arange(len(own)), last - first + 1)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
-                begin, stop = np.maximum(0, block * w - start[row]), np.minimum(size[row], (block + 1) * w - start[row])
+                begin, stop = np.maximum(0, block * w - start[own][row]), np.minimum(size[own][row], (block + 1) * w - start[own][row])
                 for turn in range(-(-q // n)):
                     at = turn * n + permuted(block, n, (seed << 34) + (turn << 32) + k)
                     shard = np.searchsorted(ends.value[int(i)], at, side="right")
-                    for j in np.flatnonzero(at < q):
-                        out[own.index[row[j]]].append({"pass": turn, "block": int(block[j]), "shard": int(shard[j]), "begin": int(begin[j]), "stop": int(stop[j])})
-            yield pd.Series(out)
+                    found.append(np.stack([own[row], np.full(len(row), turn), block, shard, begin, stop])[:, at < q])
+            flat = np.concatenate(found, axis=1)
+            flat = flat[:, np.argsort(flat[0], kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(flat[0], minlength=len(p)))])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            structs = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(flat[1:], kinds, strict=True)], ["pass", "block", "shard", "begin", "stop"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["stop"] - d["begin"])
     drawn = placed.withColumn("draws", draws(F.struct("_i", "_start", "size", "_width", "_blocks", "_quota", "_key")))

@@ -187,3 +187,12 @@ def test_stages_of_the_pipeline(spark):
     assert mixed.columns == docs.columns and mixed.count() > 0
     coded = corpus_pipeline.encode(spark, mixed, SMALL)
     assert coded.count() == mixed.count() and coded.where("not decodes").count() == 0
+
+
+def test_mixing_workers_load_no_pandas():
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/tests/", 1)[0]
+    code = "import sys, arealens.llm.mixing; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
