@@ -247,7 +247,8 @@ def _around_hubs(copies: DataFrame, percent: int) -> DataFrame:
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) + 1e-9).cast("int")
     outer = copies.select("hub", "id", "n", "both", "component", F.size("rest").alias("r"), F.explode("rest").alias("token"))
     df = outer.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("df > 1")
-    outer = join_counted(outer, stage(df, "outer_counts"), ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    df = stage(df, "outer_counts")
+    outer = join_counted(outer, df, ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     outer = outer.withColumn("pos", F.row_number().over(Window.partitionBy("hub", "id").orderBy("df", "token"))).where("low <> high")
     outer = outer.withColumns({"own": size_class(F.col("n")), "other": F.explode(F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent)))})
     need = F.greatest(F.ceil(share * (F.col("n") + F.pow(F.lit(step), "other")) - 1e-6) - F.col("both"), F.lit(1))
@@ -255,7 +256,10 @@ def _around_hubs(copies: DataFrame, percent: int) -> DataFrame:
     most = F.least("a.both", "b.both") + F.least("a.r", "b.r")
     same = F.expr("a.hub = b.hub and a.token = b.token and a.own = b.other and a.other = b.own and a.id < b.id and a.component <> b.component")
     met = outer.alias("a").join(outer.alias("b"), same & _linked(most, F.col("a.n"), F.col("b.n"), percent))
-    return inner.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).unionByName(met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")))
+    pairs = inner.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).unionByName(met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")))
+    pairs = stage(pairs.distinct(), "around")
+    discard(able, df, outer)
+    return pairs
 
 
 def _schemes(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -280,9 +284,10 @@ def _against_hubs(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     first = F.expr("a.held >= b.held")
     side = lambda yes, c: F.when(first if yes else ~first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
     apart = apart.select("a.token", side(True, "hub").alias("big"), side(False, "hub").alias("small"), F.least("a.m", "b.m").alias("asked"))
-    apart = stage(apart, "apart")
-    enough = apart.groupBy("big", "small").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).where("shared >= asked").select("big", "small")
-    apart = stage(apart.join(enough, ["big", "small"]), "apart")
+    every = stage(apart, "apart")
+    enough = every.groupBy("big", "small").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).where("shared >= asked").select("big", "small")
+    apart = stage(every.join(enough, ["big", "small"]), "apart")
+    discard(every)
     meet = apart.select("token", "big", F.col("small").alias("hub"), "asked").join(rows.select("token", "hub", "id"), ["token", "hub"])
     ask = meet.where("id <> big").groupBy("id", "big").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).where("shared >= asked")
     return apart, _measured(ask.select(F.col("id").alias("src"), F.col("big").alias("dst")), sets, rest=True)
@@ -326,6 +331,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, key: st
     direct = lambda df: df.where(_linked("both", "na", "nb", percent)).select("src", "dst")
     as_copies = lambda df: hubbed(df).select(F.col("src").alias("id"), F.col("dst").alias("hub"), F.col("na").alias("n"), F.col("nb").alias("nh"), "both", (1 - jaccard).alias("far"), "rest")
     copies = stage(as_copies(hubs), "copies")
+    discard(hubs)
     links = direct(copies.select(F.col("id").alias("src"), F.col("hub").alias("dst"), F.col("n").alias("na"), F.col("nh").alias("nb"), "both"))
     found = stage(connected_components(links), "components")
     part = lambda df: df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -340,13 +346,15 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, key: st
     found = stage(connected_components(links), "components")
     asking = measured.where(100 * F.col("both") < 100 * HUBBED * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("src").alias("b_id"), F.col("dst").alias("big"), (1 - jaccard).alias("b_far"))
     around = _around_hubs(part(copies.unionByName(as_copies(measured))), percent)
+    discard(copies)
     more = direct(_measured(around.unionByName(_across_hubs(schemes, apart, asking, percent)), of_nodes))
+    discard(around, schemes, apart, measured, members)
     # Rows of one key are one document, whatever their texts.
     kept = stage(join_counted(rows, nodes, ["n", "h", "g"], "left").select("id", "n", "node"), "rows")
+    discard(sets)
     same = kept.where("node is not null").groupBy("id").agg(F.min("node").alias("src"), F.max("node").alias("top")).where("src <> top").select("id", "src")
     same = kept.join(same, "id").select("src", F.col("node").alias("dst"))
     found = connected_components(links.unionByName(more).unionByName(same)).withColumnRenamed("id", "node")
-    discard(sets, schemes, copies, measured, hubs)
     named = stage(kept.join(found, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component")), "named")
     least = stage(named.where("component is not null and id is not null").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "least")
     joined = join_counted(named, least, "component", "left")

@@ -84,6 +84,19 @@ def test_ngram_components_of_short_texts_that_differ_in_white_space(spark):
     assert [got[i] for i in range(9)] == [0, 0, 0, 3, 3, 3, 6, 6, 6]
 
 
+def test_ngram_components_leave_no_sets_behind(spark):
+    import os
+
+    from arealens import scratch
+    from arealens.llm.ngram_join import ngram_components
+
+    before = set(scratch._made.get(spark.sparkContext.applicationId, []))
+    rows = [(i, f"one two three four five six seven eight nine ten {'x' * (i % 3)} end", "en", "s", 0, 0) for i in range(30)]
+    assert ngram_components(docs_of(spark, rows)).count() == 30
+    left = {os.path.basename(p) for p in scratch._made[spark.sparkContext.applicationId] if p not in before and os.path.exists(p)}
+    assert not left & {"sets", "copies", "outer", "outer_counts", "schemes", "lists"}
+
+
 def test_ngram_components_of_an_empty_table(spark):
     from arealens.llm.ngram_join import ngram_components
 
