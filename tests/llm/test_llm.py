@@ -242,6 +242,19 @@ def test_lines_of_a_large_group_are_compared_like_those_of_a_small_one(spark):
     assert removed <= set(range(150, 300)) and len(removed) >= 118
 
 
+def test_lines_that_agree_in_many_blocks_are_compared_once(spark):
+    from pyspark.sql import functions as F
+
+    from arealens.llm.line_dedup import PLACES, _apart, block_keys
+
+    nodes = spark.createDataFrame([(i, 100, *[k if k < 11 else 100 * i + k for k in range(13)]) for i in range(6)], f"id long, size int, {', '.join(f'{m} int' for m in PLACES)}")
+    members = nodes.select("*", block_keys())
+    groups = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 2")
+    found = spark.createDataFrame([(3, 2)], "id long, component long")  # 2 and 3 are linked already
+    pairs = [tuple(x) for x in _apart(members.join(groups, "key"), found, 0.8).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(1, 6) for j in range(i + 1, 6) if (i, j) != (2, 3)]
+
+
 def test_pieces_equal_the_library(spark):
     from arealens.llm.pieces import PieceEncoder, sentencepiece_round_trip
 
