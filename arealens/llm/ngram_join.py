@@ -43,6 +43,7 @@ SKETCHED = 64  # sets above this size have a sketch of an eighth of their shingl
 ESTIMATED = 0.45  # least similarity of sketches at which a document is measured against its hub
 HUBBED = 0.6  # least similarity to its hub of a document that is treated as one of its copies
 VOTES = 1 / 8  # least share of its one-match prefix that a document shares with its hub
+SLICE_BYTES, SLICE_VALUES = 1_000_000, 250_000  # of text, and of shingles, that a worker holds in arrays at once
 
 # Fixed odd multipliers of the shingle hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -66,7 +67,7 @@ def shingle_sets(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, SLICE_BYTES):
                 folded = pc.ascii_lower(part.column(1).cast(pa.large_string()).fill_null(""))
                 split = pc.ascii_split_whitespace(folded)
                 offsets, words = split.offsets.to_numpy(), split.flatten()
@@ -101,7 +102,7 @@ def _class_counts(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
-        for batch in (part for whole in batches for part in list_slices(whole, 0)):
+        for batch in (part for whole in batches for part in list_slices(whole, 0, SLICE_VALUES)):
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             total += np.bincount(flat.view(np.uint64) >> np.uint64(64 - CLASS_BITS), minlength=CLASSES)
         at = np.flatnonzero(total)
@@ -121,7 +122,7 @@ def _by_class(sets: DataFrame, counts: Broadcast, percent: int, times: float | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = counts.value.mean() + 8 * np.sqrt(counts.value.mean()) + COMMON
-        for batch in (part for whole in batches for part in list_slices(whole, 1)):
+        for batch in (part for whole in batches for part in list_slices(whole, 1, SLICE_VALUES)):
             shingles = batch.column(1)
             flat, ends = shingles.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(shingles).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(ends)), ends)
@@ -212,10 +213,8 @@ def _measured(pairs: DataFrame, sets: DataFrame, rest: bool = False) -> DataFram
 def _lists(prefixes: DataFrame) -> DataFrame:
     """(token, id, n, base, pos, df) for prefix shingles that two or more documents have."""
     rows = prefixes.select("id", "n", "base", F.posexplode("prefix").alias("pos", "token"))
-    counts = stage(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
-    lists = stage(join_counted(rows, counts, "token"), "lists")
-    discard(counts)
-    return lists
+    # Rows are moved to their token once; counts joined back would move most of them a second time, to find that nothing else has the token.
+    return stage(rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"), "lists")
 
 
 def _hubs(lists: DataFrame) -> DataFrame:

@@ -242,6 +242,15 @@ def test_lines_of_a_large_group_are_compared_like_those_of_a_small_one(spark):
     assert removed <= set(range(150, 300)) and len(removed) >= 118
 
 
+def test_prefixes_are_moved_to_their_token_once(spark, monkeypatch):
+    from arealens.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "join_counted", None)
+    prefixes = spark.createDataFrame([(1, 9, 2, [5, 6]), (2, 8, 2, [6, 7, 8]), (3, 7, 1, [8, 6])], "id long, n int, base int, prefix array<long>")
+    lists = ngram_join._lists(prefixes)
+    assert {(r["token"], r["id"], r["n"], r["base"], r["pos"], r["df"]) for r in lists.collect()} == {(6, 1, 9, 2, 1, 3), (6, 2, 8, 2, 0, 3), (6, 3, 7, 1, 1, 3), (8, 2, 8, 2, 2, 2), (8, 3, 7, 1, 0, 2)}
+
+
 def test_lines_that_agree_in_many_blocks_are_compared_once(spark):
     from pyspark.sql import functions as F
 
