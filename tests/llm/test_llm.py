@@ -200,6 +200,37 @@ def test_line_similarity_equals_levenshtein(spark):
     assert got == {p for p in pairs if distance(*p) <= int(0.2 * max(map(len, p)) + 1e-9)}
 
 
+def test_long_lines_are_settled_by_words_or_by_their_ends(spark):
+    from pyspark.sql import functions as F
+
+    from arealens.llm.line_dedup import _few_words_apart, _near
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij\u00e9") for _ in range(rng.randint(2, 8)))
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = []
+    for i in range(120):
+        a = [word() for _ in range(rng.randint(20, 50))]
+        passage, n = a[len(a) // 4 :], rng.randint(0, 12)
+        copy = [word() if rng.random() < 0.08 else w for w in a if rng.random() > 0.03]
+        pairs.append((a, [copy, [word() for _ in range(n)] + passage, passage + [word() for _ in range(n)], [word() for _ in a]][i % 4]))
+    table = spark.createDataFrame([(" ".join(a), " ".join(b), len(" ".join(a)) // 5) for a, b in pairs], "a string, b string, most int")
+    x, y = F.split("a", " "), F.split("b", " ")
+    got = table.select("a", "b", "most", _few_words_apart(x, y, F.col("most")).alias("few"), _near(x, y, F.col("most"), F.lit(True)).alias("near")).collect()
+    for r in got:
+        assert r["near"] == (distance(r["a"] + " ", r["b"] + " ") <= r["most"])
+        assert r["near"] or not r["few"]
+    assert sum(bool(r["few"]) for r in got) >= 15 and sum(not r["near"] for r in got) >= 30
+
+
 def test_lines_that_differ_by_a_word_or_letter_are_one(spark):
     from arealens.llm.line_dedup import dedup_lines
 
