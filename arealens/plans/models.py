@@ -92,10 +92,13 @@ def _(facilities):
 
 @query("j6_centroid_label", "areas", "facilities", sql="SELECT DISTINCT a.id, f.id AS facility FROM areas a, facilities f WHERE a.x + 0.02 >= f.x - f.r AND a.x + 0.02 < f.x + f.r AND a.y + 0.08 >= f.y - f.r AND a.y + 0.08 < f.y + f.r")
 def _(areas, facilities):
+    areas = areas.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # measures of rings are dear, a small file is one task
     centre = areas.select("id", overlay.ring_measures(kite(F.col("x"), F.col("y"), F.lit(0.3))).alias("m")).select("id", r("m.cx").alias("px"), r("m.cy").alias("py"))
     corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("r")).alias("x"), (F.col("y") + dy * F.col("r")).alias("y"))
     squares = facilities.select(F.col("id").alias("facility"), F.array(*[corner(*d) for d in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]).alias("ring"))
-    return spatial.points_in_polygons(centre, squares, "px", "py", "ring", 5.0).select("id", "facility").distinct()
+    found = spatial.points_in_polygons(centre, squares, "px", "py", "ring", 5.0).select("id", "facility")
+    once = lambda df: df.groupBy(df.columns[0]).count().where("count > 1").isEmpty()
+    return found if once(areas.select("id")) and once(squares.select("facility")) else found.distinct()  # a pair is found once where ids are unique
 
 
 def lines_and_squares(areas, facilities):
