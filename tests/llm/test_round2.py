@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arealens.llm import ann, langid, quality
+from arealens.llm import ann, langid, line_dedup, quality
 from arealens.llm.mixing import mix_sources, mixed_blocks
 from arealens.llm.queries import QUERIES
 
@@ -196,3 +196,11 @@ def test_mixing_workers_load_no_pandas():
     root = __file__.rsplit("/tests/", 1)[0]
     code = "import sys, arealens.llm.mixing; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
+
+
+def test_similar_forms_without_a_word_in_common(spark):
+    # A wrong letter in each of ten words: no word is shared, ten of 109 characters differ.
+    names = ["abcdefghij"[i:] + "abcdefghij"[:i] for i in range(10)]
+    a, b, c = " ".join(names), " ".join("z" + w[1:] for w in names), " ".join(w[:4] + "zzz" + w[7:] for w in names)
+    pairs = spark.createDataFrame([(1, a, b), (2, a, c)], "src long, a string, b string")
+    assert [r["src"] for r in line_dedup.similar(pairs, 0.8).collect()] == [1]
