@@ -50,6 +50,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def rounded(value: str, digits: int) -> Column:
+    """``round`` of a column of doubles, by compiled arithmetic where the value is not near a tie, else by ``round`` itself, which goes through decimals."""
+    scaled = F.col(value) * 10.0**digits
+    plain = (F.abs(scaled) < 1e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5) / F.lit(10.0**digits)).otherwise(F.round(value, digits))
+
+
 def z_score(value: str, *by: str) -> Column:
     """Distance from the group's mean in sample standard deviations; null where they are 0 or null."""
     own = Window.partitionBy(*by)
